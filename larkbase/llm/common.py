@@ -56,7 +56,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Names of the columns that stand for a text in joins; odd ones, so that they clash with none of the user's.
+TEXT_KEY = ["_larkbase_text_a", "_larkbase_text_b"]
+
+
 def text_key(text: Column) -> list[Column]:
-    """Two 64-bit hashes of a text (null: empty); together they stand for the text in joins."""
+    """Two 64-bit hashes of a text (null: empty)."""
     whole = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(whole).alias("key_a"), F.xxhash64(F.reverse(whole), F.lit(7)).alias("key_b")]
+    return [F.xxhash64(whole).alias(TEXT_KEY[0]), F.xxhash64(F.reverse(whole), F.lit(7)).alias(TEXT_KEY[1])]
