@@ -39,9 +39,36 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is; `larkbase.tokenizers` in the session's settings may name another folder."""
+    folder = SparkSession.getActiveSession().conf.get("larkbase.tokenizers", None)
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkbase.llm import bpe
+
+    return bpe.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkbase.llm import tokencount
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, tokenizer_file("word_bpe_49k.json"), 2048).select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "fits_chars"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_sharding": op3_sharding,
+    "op6_bpe": op6_bpe,
+    "op8_token_counts": op8_token_counts,
     "op10_line_dedup": op10_line_dedup,
 }
 
