@@ -30,6 +30,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkbase.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.judge(docs).select("doc_id", *quality.MEASURES, "base_failed", "kept")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkbase.llm import linededup
 
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op6_bpe": op6_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
 
