@@ -46,6 +46,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkbase.llm import simhash
+
+    return simhash.group(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
+
+
 def tokenizer_file(name: str) -> str:
     """Where a public tokenizer's file is; `larkbase.tokenizers` in the session's settings may name another folder."""
     folder = SparkSession.getActiveSession().conf.get("larkbase.tokenizers", None)
@@ -74,6 +80,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_sharding": op3_sharding,
+    "op4_simhash": op4_simhash,
     "op6_bpe": op6_bpe,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
