@@ -21,6 +21,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkbase.llm import mixing
+
+    return mixing.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkbase.llm import sharding
 
@@ -52,6 +58,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkbase.llm import secretscan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secretscan.scan(docs, secretscan.default_model(spark))
+
+
 def tokenizer_file(name: str) -> str:
     """Where a public tokenizer's file is; `larkbase.tokenizers` in the session's settings may name another folder."""
     folder = SparkSession.getActiveSession().conf.get("larkbase.tokenizers", None)
@@ -79,8 +92,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
+    "op5_secret_scan": op5_secret_scan,
     "op6_bpe": op6_bpe,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
