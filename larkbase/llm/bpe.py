@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from larkbase.llm.common import bound_arrow_batches
+from larkbase.llm.common import prepare_python
 
 #: The code points with the Unicode property White_Space, as a character class.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
@@ -106,7 +106,7 @@ def _others(df: DataFrame, *made: str) -> StructType:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """The documents with `ids` (array of int) and `n_tokens`."""
-    bound_arrow_batches(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     kept = _others(docs, "ids", "n_tokens", "_larkbase_words")
     names = [f.name for f in kept.fields]
     out = StructType(list(kept.fields)).add("ids", ArrayType(IntegerType())).add("n_tokens", LongType())
@@ -129,7 +129,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows with `decoded`, the text of their `ids` (null: empty)."""
-    bound_arrow_batches(encoded.sparkSession)
+    prepare_python(encoded.sparkSession)
     kept = _others(encoded, "decoded")
     names = [f.name for f in kept.fields]
     out = StructType(list(kept.fields)).add("decoded", StringType())
@@ -146,7 +146,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode and hash in one pass, so that
     neither ids nor texts leave the worker."""
-    bound_arrow_batches(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     names = [f.name for f in docs.schema.fields if f.name == "doc_id"]
     out = StructType([f for f in docs.schema.fields if f.name == "doc_id"])
     out = out.add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +44,27 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(schema).parquet(path)
 
 
-def bound_arrow_batches(spark: SparkSession) -> None:
-    """Limit Arrow batches by bytes as well as by rows."""
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that their Python workers
+    can import it wherever the driver has it from."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="larkbase-ship-")) / "larkbase_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(top.rglob("*.py")):
+            z.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
+def prepare_python(spark: SparkSession) -> None:
+    """Make the package importable on executors, and limit Arrow batches by bytes as well as by rows."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 

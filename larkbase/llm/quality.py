@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from larkbase.llm.common import bound_arrow_batches, materialize
+from larkbase.llm.common import prepare_python, materialize
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_text_lines"]
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
@@ -89,7 +89,7 @@ def repeated_words(words: list[bytes], size: int = 3) -> int:
 
 def measure(docs: DataFrame) -> DataFrame:
     """The documents without their text, with their measures; one scan."""
-    bound_arrow_batches(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name not in (*MEASURES, "text")]
     names = [f.name for f in kept]
     out = StructType(kept)

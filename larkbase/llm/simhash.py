@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from larkbase.llm.common import bound_arrow_batches, materialize
+from larkbase.llm.common import prepare_python, materialize
 
 SHINGLE = 4
 SEED = 42
@@ -178,7 +178,7 @@ def _link_shifts(keys: np.ndarray, prints: np.ndarray, forest: Forest, max_bits:
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
     """All columns of the documents but text, with `fingerprint` as a signed long."""
-    bound_arrow_batches(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name not in ("text", "fingerprint")]
     names = [f.name for f in kept]
 
@@ -192,7 +192,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b) with b < a: a forest that connects all fingerprints within four bits. `prints` are distinct."""
-    bound_arrow_batches(prints.sparkSession)
+    prepare_python(prints.sparkSession)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from larkbase.llm.common import bound_arrow_batches
+from larkbase.llm.common import prepare_python
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A task's table is emptied beyond this many prefixes; that costs time only.
@@ -172,7 +172,7 @@ def prefix_table(path: str) -> PrefixTable:
 def count_tokens(docs: DataFrame, path: str, budget: int = 2048, store: bool = False) -> DataFrame:
     """The documents with n_bytes, n_tokens and `fits_chars`, the length in characters of the longest
     prefix within the budget; with `store`, also `word_starts` and `word_tokens`, the running counts."""
-    bound_arrow_batches(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     made = StructType().add("n_bytes", LongType()).add("n_tokens", LongType()).add("fits_chars", LongType())
     if store:
         made = made.add("word_starts", ArrayType(IntegerType())).add("word_tokens", ArrayType(IntegerType()))
