@@ -42,8 +42,13 @@ def line_hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("line_a"), F.xxhash64(F.reverse(key), F.lit(7)).alias("line_b"))
 
 
+def merge() -> list[Column]:
+    return [F.sum("n_docs").alias("n_docs"), F.min("first").alias("first")]
+
+
 class LineRuns:
-    """Sorted runs of (line_a, line_b, n_docs) by level."""
+    """Sorted runs of (line_a, line_b, n_docs, first) by level; `first` is the least text hash that has
+    the line. Batches are given in the order of that hash, so what a known key leaves out can't be less."""
 
     def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = 2):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
@@ -58,18 +63,18 @@ class LineRuns:
         if not runs:
             return None
         both = reduce(DataFrame.unionByName, runs)
-        return both if len(runs) == 1 else both.groupBy(*LINE).agg(F.sum("n_docs").alias("n_docs"))
+        return both if len(runs) == 1 else both.groupBy(*LINE).agg(*merge())
 
     def widespread(self) -> DataFrame | None:
         counts = self.counts()
-        return None if counts is None else counts.filter(F.col("n_docs") >= self.min_docs).select(*LINE)
+        return None if counts is None else counts.filter(F.col("n_docs") >= self.min_docs).select(*LINE, "first")
 
     def add(self, batch: DataFrame) -> None:
         """Count a batch, given as one row for each document and distinct key of it."""
-        fresh = batch.groupBy(*LINE).agg(F.count(F.lit(1)).alias("n_docs"))
+        fresh = batch.groupBy(*LINE).agg(F.count(F.lit(1)).alias("n_docs"), F.min(TEXT_KEY[0]).alias("first"))
         known = self.widespread()
         if known is not None:
-            fresh = fresh.join(known, LINE, "left_anti")
+            fresh = fresh.join(known.select(*LINE), LINE, "left_anti")
         self._put(fresh, 0)
 
     def _put(self, run: DataFrame, level: int) -> None:
@@ -77,36 +82,46 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(materialize(run.sortWithinPartitions(*LINE)))
         if len(self.levels[level]) >= self.fanout:
-            merged = reduce(DataFrame.unionByName, self.levels[level]).groupBy(*LINE).agg(F.sum("n_docs").alias("n_docs"))
+            merged = reduce(DataFrame.unionByName, self.levels[level]).groupBy(*LINE).agg(*merge())
             self.levels[level] = []
             self._put(merged, level + 1)
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2) -> DataFrame:
+def drop_lines(
+    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batch_bits: int = 2, fanout: int = 2, keep_first: bool = False
+) -> DataFrame:
     """The documents, `text` without widespread lines, with `n_lines` before and `n_dropped`.
 
-    The documents are taken in `batches` parts by text hash, as if they had arrived so. Columns
-    that are already called n_lines or n_dropped are replaced.
+    With `keep_first`, a widespread line stays in the text that has the least hash of those with the
+    line, and in its copies. The documents are taken in 2 ** `batch_bits` parts by text hash, as if
+    they had arrived so. Columns that are already called n_lines or n_dropped are replaced.
     """
     spark = docs.sparkSession
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    # One row for each document and distinct key; no text.
+    # One row for each document and distinct key; no text. The text's hashes and keys are made before
+    # the rows multiply; explode_outer, as Spark would test an inner explode's array by making it twice.
+    keyed = docs.select(*text_key(F.col("text")), F.array_distinct(F.transform(split, line_key)).alias("keys"))
     lines = materialize(
-        docs.select(*text_key(F.col("text")), F.explode(F.array_distinct(F.transform(split, line_key))).alias("key"))
+        keyed.select(*TEXT_KEY, F.explode_outer("keys").alias("key"))
         .filter(F.length("key") >= min_chars)
-        .select(*TEXT_KEY, F.inline(F.array(line_hash(F.col("key")))))
-        .withColumn("batch", F.pmod(F.col(TEXT_KEY[0]), F.lit(batches)).cast("int")),
+        .select(
+            *TEXT_KEY, F.xxhash64("key").alias(LINE[0]), F.xxhash64(F.reverse("key"), F.lit(7)).alias(LINE[1]),
+            (F.shiftright(TEXT_KEY[0], 64 - batch_bits) + (1 << batch_bits >> 1)).cast("int").alias("batch"),
+        ),
         partition_by=["batch"],
     )
     runs = LineRuns(spark, min_docs, fanout)
-    for b in range(batches):
+    for b in range(1 << batch_bits):
         runs.add(lines.filter(F.col("batch") == b))
     found = materialize(runs.widespread())
     if found.count() <= BROADCAST_LINES:
         found = F.broadcast(found)
+    if keep_first:
+        held = lines.join(found, LINE).filter(F.col(TEXT_KEY[0]) != F.col("first"))
+    else:
+        held = lines.join(found.drop("first"), LINE, "left_semi")
     hits = (
-        lines.join(found, LINE, "left_semi")
-        .groupBy(*TEXT_KEY)
+        held.groupBy(*TEXT_KEY)
         .agg(F.collect_set(F.struct(*LINE)).alias("_larkbase_drop"))
     )
     parts = F.transform(split, lambda line: F.struct(line.alias("line"), line_hash(line_key(line)).alias("hash")))
