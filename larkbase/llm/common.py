@@ -38,10 +38,7 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    schema = df.schema
-    if partition_by:  # partition columns come back last
-        return spark.read.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()

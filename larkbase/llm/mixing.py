@@ -107,6 +107,9 @@ def inclusion(tokens: np.ndarray, weights: np.ndarray, keep: float) -> np.ndarra
         if w[k] <= 0:
             p[:k] = 1.0
             break
+        if rest[k] <= 0:  # no tokens are left
+            p[:] = np.where(w > 0, 1.0, 0.0)
+            break
         scale = (wanted - taken[k]) / rest[k]
         if scale * w[k] <= 1:
             p[:k] = 1.0

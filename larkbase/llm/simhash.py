@@ -243,7 +243,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 def group(docs: DataFrame) -> DataFrame:
     """The documents without text, with fingerprint (16 hexadecimal digits), component_id and
     component_root, the least fingerprint of the component."""
-    printed = materialize(with_fingerprints(docs))
+    made = ("component_id", "component_root")
+    printed = materialize(with_fingerprints(docs).drop(*made))
     distinct = materialize(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct))
     placed = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select(
@@ -251,7 +252,7 @@ def group(docs: DataFrame) -> DataFrame:
     )
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = placed.join(least, "root").select("fingerprint", "component_id", F.col("root").alias("component_root"))
-    names = [c for c in printed.columns if c not in ("fingerprint", "component_id", "component_root")]
+    names = [c for c in printed.columns if c != "fingerprint"]
     return printed.join(by_print, "fingerprint").select(
         *(F.col(f"`{n}`") for n in names), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "component_root"
     )
