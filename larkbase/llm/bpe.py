@@ -15,7 +15,7 @@ as in the whole text; special strings contain no white space and stay within a w
 
 Defined cases: a null text is empty and has no tokens; unknown ids cannot occur, since the
 vocabulary covers all bytes; decoding replaces invalid UTF-8 as the library does; other columns
-stay unless they are called ids, n_tokens or decoded, which are replaced.
+stay unless they are called ids, n_tokens, round_trip or decoded, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,11 +24,14 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
 from larkbase.llm.common import prepare_python
 
@@ -67,29 +70,72 @@ class Codec:
         self.pieces: dict[int, bytes] = {i: bytes(chars[c] for c in piece) for piece, i in model["model"]["vocab"].items()}
         for special in model["added_tokens"]:
             self.pieces[special["id"]] = special["content"].encode()
-        self.table: dict[str, list[int]] = {}
-
-    def learn(self, words: list[str]) -> None:
-        """Encode those of the words that the table lacks, each once."""
-        if len(self.table) > TABLE_WORDS:
-            self.table.clear()
-        fresh = [w for w in dict.fromkeys(words) if w not in self.table]
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
+        self.at: dict[str, int] = {}
+        self.ids: list[list[int]] = []
+        self.decimals: list[str] = []
+        self.decoded: list[bytes] = []
+
+    def rows(self, words: list[str]) -> list[int]:
+        """Row of each distinct word in the table; new ones are encoded, and their ids joined to pieces, once."""
+        if len(self.at) > TABLE_WORDS:
+            for column in (self.at, self.ids, self.decimals, self.decoded):
+                column.clear()
+        fresh = [w for w in words if w not in self.at]
+        for start in range(0, len(fresh), 4096):
+            part = fresh[start : start + 4096]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.table[word] = found.ids
+                ids = found.ids
+                self.at[word] = len(self.ids)
+                self.ids.append(ids)
+                self.decimals.append(",".join(map(str, ids)))
+                self.decoded.append(b"".join(map(self.pieces.__getitem__, ids)))
+        return [self.at[w] for w in words]
 
     def encode(self, words: list[str]) -> list[int]:
-        """Ids of a text from its words, by position."""
-        ids: list[int] = []
-        for part in map(self.table.__getitem__, words):
-            ids += part
-        return ids
+        """Ids of one text from its words, by position."""
+        at = dict(zip(kinds := list(dict.fromkeys(words)), self.rows(kinds), strict=True))
+        return [i for w in words for i in self.ids[at[w]]]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Block:
+    """The words of a batch of texts as rows of the table of distinct words, by position."""
+
+    def __init__(self, words: pa.ListArray, codec: Codec):
+        self.codec = codec
+        flat = words.flatten().dictionary_encode()
+        rows = np.array(codec.rows(flat.dictionary.to_pylist()), dtype=np.int64)
+        self.codes = rows[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, np.int64)
+        offsets = words.offsets.to_numpy()
+        self.offsets = offsets - offsets[0]
+        self.kinds = np.unique(rows)
+        lengths = np.zeros(len(codec.ids), dtype=np.int64)
+        lengths[self.kinds] = [len(codec.ids[r]) for r in self.kinds.tolist()]
+        self.lengths = lengths
+        running = np.concatenate([[0], np.cumsum(lengths[self.codes])])
+        #: Where each text's ids begin, and where the last one's end.
+        self.bounds = running[self.offsets]
+
+    def counts(self) -> np.ndarray:
+        return np.diff(self.bounds)
+
+    def texts(self) -> Iterator[list[int]]:
+        codes = self.codes.tolist()
+        for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
+            yield codes[a:b]
+
+    def id_arrays(self) -> pa.ListArray:
+        """The ids of each text: a gather from the ids of the distinct words."""
+        starts = np.zeros(len(self.lengths), dtype=np.int64)
+        starts[self.kinds] = np.concatenate([[0], np.cumsum(self.lengths[self.kinds])[:-1]]) if len(self.kinds) else []
+        flat = np.fromiter(chain.from_iterable(self.codec.ids[r] for r in self.kinds.tolist()), np.int32)
+        each = self.lengths[self.codes]
+        shift = starts[self.codes] - (np.cumsum(each) - each)
+        return pa.ListArray.from_arrays(pa.array(self.bounds, pa.int32()), pa.array(flat[np.repeat(shift, each) + np.arange(each.sum())]))
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -104,27 +150,31 @@ def _others(df: DataFrame, *made: str) -> StructType:
     return StructType([f for f in df.schema.fields if f.name not in made])
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """The documents with `ids` (array of int) and `n_tokens`."""
+def encode(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
+    """The documents, without their text if it isn't to be kept, with `ids` (array of int), `n_tokens` and `round_trip`, whether decoding the ids
+    gives the text again."""
     prepare_python(docs.sparkSession)
-    kept = _others(docs, "ids", "n_tokens", "_larkbase_words")
+    made = ["ids", "n_tokens", "round_trip"]
+    kept = _others(docs, *made, *([] if keep_text else ["text"]))
     names = [f.name for f in kept.fields]
-    out = StructType(list(kept.fields)).add("ids", ArrayType(IntegerType())).add("n_tokens", LongType())
+    out = StructType(list(kept.fields)).add("ids", ArrayType(IntegerType())).add("n_tokens", LongType()).add("round_trip", BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
-            rows = []
-            for words in batch.column("_larkbase_words"):
-                words = words.as_py()
-                own.learn(words)
-                rows.append(own.encode(words))
+        # Ids and texts are held at once, so a block is smaller here.
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+            words = batch.column("_larkbase_words")
+            block = Block(words, own)
+            ids = block.id_arrays()
+            # Decoded from the ids themselves, and compared with what was split.
+            texts = [own.decode(i) for i in np.split(ids.values.to_numpy(), block.bounds[1:-1])] if len(ids) else []
+            same = pc.equal(pa.array(texts, pa.string()), pc.binary_join(words, ""))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(rows, pa.list_(pa.int32())), pa.array([len(r) for r in rows], pa.int64())],
-                [*names, "ids", "n_tokens"],
+                [*(batch.column(n) for n in names), ids, pa.array(block.counts()), same], [*names, *made]
             )
 
-    return docs.select(*(F.col(f"`{n}`") for n in names), split_words(F.col("text")).alias("_larkbase_words")).mapInArrow(run, out)
+    words = split_words(F.col("text")).alias("_larkbase_words")
+    return docs.select(*(F.col(f"`{n}`") for n in names), words).mapInArrow(run, out)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -154,16 +204,13 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for words in batch.column("_larkbase_words"):
-                words = words.as_py()
-                own.learn(words)
-                ids = own.encode(words)
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+            block = Block(batch.column("_larkbase_words"), own)
+            ids_sha, text_sha = [], []
+            for rows in block.texts():
+                ids_sha.append(hashlib.sha256(",".join(map(own.decimals.__getitem__, rows)).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(b"".join(map(own.decoded.__getitem__, rows))).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                [*(batch.column(n) for n in names), pa.array(block.counts()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 [*names, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
