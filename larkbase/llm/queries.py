@@ -118,6 +118,41 @@ scored AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d
     FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
+""",
+    "op9_quality": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, lang, source FROM documents),
+words AS (SELECT r, doc_id, lang, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
+line_counts AS (SELECT r, count(*) AS n_text_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+positions AS (SELECT r, unnest(range(1, len(w) - 1)) AS pos, w FROM words WHERE len(w) >= 3),
+windows AS (SELECT r, pos, w[pos] || ' ' || w[pos + 1] || ' ' || w[pos + 2] AS three FROM positions),
+twice AS (SELECT r, pos FROM windows QUALIFY count(*) OVER (PARTITION BY r, three) > 1),
+repeats AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([pos, pos + 1, pos + 2]) AS p FROM twice) GROUP BY r),
+measures AS (SELECT r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_text_lines, 0) AS n_text_lines
+    FROM words LEFT JOIN line_counts USING (r) LEFT JOIN repeats USING (r)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measures),
+valued AS (SELECT r, lang, source, base_failed, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'mean_word']) AS rule, unnest([
+    CASE WHEN n_words > 0 THEN 10000 * n_symbols // n_words ELSE 0 END, CASE WHEN n_text_lines > 0 THEN 10000 * n_dup_lines // n_text_lines ELSE 0 END,
+    CASE WHEN n_words > 0 THEN 10000 * n_repeat_words // n_words ELSE 0 END, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END]) AS v FROM judged),
+bucketed AS (SELECT lang, source, rule, greatest(length(bin(v)) - 6, 0) AS shift, v FROM valued WHERE NOT base_failed),
+sketch AS (SELECT lang, source, rule, (v >> shift) << shift AS low, count(*) AS n FROM bucketed GROUP BY ALL),
+levels AS (SELECT 1 AS level, lang, source, rule, low, n FROM sketch
+    UNION ALL SELECT 2, lang, NULL, rule, low, sum(n) FROM sketch GROUP BY lang, rule, low
+    UNION ALL SELECT 3, NULL, NULL, rule, low, sum(n) FROM sketch GROUP BY rule, low),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY low) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM levels),
+quartiles AS (SELECT level, lang, source, rule, max(total) AS total, min(low) FILTER (WHERE upto * 4 >= total) AS q1, min(low) FILTER (WHERE upto * 4 >= total * 3) AS q3
+    FROM ranked GROUP BY level, lang, source, rule),
+fences AS (SELECT *, q3 + greatest(6 * (q3 - q1), CASE rule WHEN 'symbol_share' THEN 2000 WHEN 'mean_word' THEN 400 ELSE CASE rule WHEN 'dup_line_share' THEN 3000 ELSE 2500 END END) AS fence FROM quartiles),
+cuts AS (SELECT o.lang, o.source, o.rule, CASE WHEN o.total >= 200 THEN o.fence WHEN l.total >= 200 THEN l.fence ELSE a.fence END AS cut
+    FROM fences o JOIN fences l ON l.level = 2 AND l.lang IS NOT DISTINCT FROM o.lang AND l.rule = o.rule JOIN fences a ON a.level = 3 AND a.rule = o.rule WHERE o.level = 1),
+passed AS (SELECT v.r, bool_and(c.cut IS NULL OR v.v <= c.cut) AS ok FROM valued v
+    LEFT JOIN cuts c ON c.lang IS NOT DISTINCT FROM v.lang AND c.source IS NOT DISTINCT FROM v.source AND c.rule = v.rule GROUP BY v.r)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+    CAST(n_text_lines AS BIGINT) AS n_text_lines, base_failed, NOT base_failed AND ok AS kept FROM judged JOIN passed USING (r)
 """,
     "op10_line_dedup": r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
