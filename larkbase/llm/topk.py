@@ -15,7 +15,7 @@ in one row. The result is exact: bounds are widened beyond rounding, products ar
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part;
 vectors of another length than a query are no candidates of it; a row is never its own candidate,
-but rows that share an id are candidates of each other only if their ids differ; ties go to the
+nor are other rows with its id; equal rows count once; ties go to the
 smaller id; with fewer than k candidates all are returned; other columns are ignored.
 """
 
@@ -41,11 +41,13 @@ EXACT = float(1 << 53)
 class TopKConfig:
     k: int = 10
     scale: int = 1024
-    #: Pivots that deal vectors out; a bounded sample of the data, the first by an id hash.
+    #: Most pivots that deal vectors out; a bounded sample of the data, the first by an id hash.
     pivots: int = 64
     #: Most vectors of a block and most queries of a group.
     block: int = 4096
     group: int = 256
+    #: Groups that one task asks a block for.
+    groups_of_task: int = 512
     leaf: int = 64
 
 
@@ -132,11 +134,12 @@ def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return q @ p.T
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data: np.ndarray, ids: np.ndarray, config: TopKConfig) -> Best:
+def search(
+    queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data: np.ndarray, ids: np.ndarray, p_root: Node, config: TopKConfig
+) -> Best:
     """Dual-tree search of one group of queries in one block."""
     best = Best(len(queries), config.k, floor)
     q_root = cover_tree(queries, np.arange(len(queries)), config.leaf)
-    p_root = cover_tree(data, np.arange(len(data)), config.leaf)
     serial = 0
     heap = [(-bound(q_root, p_root), serial, q_root, p_root)]
     while heap:
@@ -213,30 +216,40 @@ def pairs_with_bounds(groups: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def search_pairs(pairs: DataFrame, groups: DataFrame, blocks: DataFrame, floors: DataFrame | None, config: TopKConfig) -> DataFrame:
-    """(group, query_id, vec_id, score): up to k candidates of each query from each pair."""
-    q = groups.select(F.col("block").alias("group"), "length", F.col("ids").alias("q_ids"), F.col("packed").alias("q"))
-    if floors is not None:
-        q = q.join(floors, "group", "left")
-    else:
-        q = q.withColumn("floors", F.lit(None).cast("map<bigint,double>"))
-    p = blocks.select("block", F.col("ids").alias("p_ids"), F.col("packed").alias("p"))
-    joined = pairs.select("group", "block").join(q, "group").join(p, "block")
+    """(group, query_id, vec_id, score): up to k candidates of each query from each pair.
+
+    A block's row comes before the rows of the groups that ask it, in a sorted stream, so its tree is
+    built once and a task holds one block. Where very many groups ask, a block is sent to several tasks.
+    """
+    spares = max(1, -(-groups.count() // config.groups_of_task))
+    spare = F.pmod(F.xxhash64("group"), F.lit(spares)).cast("int").alias("spare")
+    q = groups.select(F.col("block").alias("group"), "length", "ids", "packed")
+    q = q.join(floors, "group", "left") if floors is not None else q.withColumn("floors", F.lit(None).cast("map<bigint,double>"))
+    asking = pairs.select("group", "block").join(q, "group").select("block", spare, F.lit(1).alias("kind"), "group", "length", "ids", "packed", "floors")
+    asked = blocks.join(pairs.select("block").distinct(), "block", "left_semi").select(
+        "block", F.explode(F.array(*(F.lit(i) for i in range(spares)))).alias("spare"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("group"),
+        "length", "ids", "packed", F.lit(None).cast("map<bigint,double>").alias("floors"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = ids = tree = None
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids, p_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["p_ids"], np.int64)
+                vectors, own = np.frombuffer(row["packed"], "<f8").reshape(-1, row["length"]), np.frombuffer(row["ids"], np.int64)
+                if row["kind"] == 0:
+                    data, ids, tree = vectors, own, cover_tree(vectors, np.arange(len(own)), config.leaf)
+                    continue
                 known = dict(row["floors"] or [])
-                floor = np.array([known.get(i, -np.inf) for i in q_ids.tolist()])
-                queries, data = (np.frombuffer(row[side], "<f8").reshape(-1, row["length"]) for side in ("q", "p"))
-                best = search(queries, q_ids, floor, data, p_ids, config)
-                found = [(i, int(x), v) for i, f in zip(q_ids.tolist(), best.found, strict=True) if f for x, v in zip(f[0].tolist(), f[1].tolist(), strict=True)]
+                floor = np.array([known.get(i, -np.inf) for i in own.tolist()])
+                best = search(vectors, own, floor, data, ids, tree, config)
+                found = [(i, int(x), v) for i, f in zip(own.tolist(), best.found, strict=True) if f for x, v in zip(f[0].tolist(), f[1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["group"]] * len(found), pa.string()), *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 2, 1))],
                     ["group", "query_id", "vec_id", "score"],
                 )
 
-    return joined.repartition("group", "block").mapInArrow(run, "group string, query_id long, vec_id long, score long")
+    stream = asked.unionByName(asking).repartition("block", "spare").sortWithinPartitions("block", "spare", "kind")
+    return stream.mapInArrow(run, "group string, query_id long, vec_id long, score long")
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
@@ -247,9 +260,10 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, config: TopKConfig | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score); both inputs have (id, vector)."""
     config = config or TopKConfig()
-    data = materialize(as_integers(vectors.select("id", "vector"), "vector", config.scale).select("id", "v"))
-    asked = materialize(as_integers(queries.select("id", "vector"), "vector", config.scale).select("id", "v"))
-    first = data.orderBy(F.xxhash64("id"), "id").limit(config.pivots).select("v").collect()
+    data = materialize(as_integers(vectors.select("id", "vector"), "vector", config.scale).select("id", "v").distinct())
+    asked = materialize(as_integers(queries.select("id", "vector"), "vector", config.scale).select("id", "v").distinct())
+    pivots_needed = min(config.pivots, -(-data.count() // config.block))
+    first = data.orderBy(F.xxhash64("id"), "id").limit(pivots_needed).select("v").collect()
     length = max((len(r["v"]) for r in first), default=0)
     pivots = np.array([r["v"] for r in first if len(r["v"]) == length], dtype=float).reshape(-1, length) if length else np.empty((0, 0))
     blocks = pack(deal(data, pivots, config.block))
