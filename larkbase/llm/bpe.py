@@ -39,7 +39,7 @@ from larkbase.llm.common import prepare_python
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 WORDS = rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
 #: A task's table is emptied beyond this many words; that costs time only.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 150_000
 
 
 def split_words(text: Column) -> Column:
@@ -122,9 +122,8 @@ class Block:
         return np.diff(self.bounds)
 
     def texts(self) -> Iterator[list[int]]:
-        codes = self.codes.tolist()
         for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
-            yield codes[a:b]
+            yield self.codes[a:b].tolist()
 
     def id_arrays(self) -> pa.ListArray:
         """The ids of each text: a gather from the ids of the distinct words."""

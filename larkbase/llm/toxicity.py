@@ -95,7 +95,7 @@ class ToxicityModel:
 class WordCache(dict):
     """Scores by word; emptied when it has grown large, which costs time only."""
 
-    def __init__(self, model: ToxicityModel, most: int = 400_000):
+    def __init__(self, model: ToxicityModel, most: int = 150_000):
         super().__init__()
         self.model, self.most = model, most
 
