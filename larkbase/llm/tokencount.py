@@ -20,9 +20,11 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
@@ -36,12 +38,22 @@ TABLE_PREFIXES = 1_000_000
 LONG_WORD = 256
 #: The tokenizer closes each run of letters, digit or run of other characters with this mark.
 END_MARK = "</w>"
+#: Words whose runs are told apart here, and the runs: Latin-1 letters are their own normal form.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(rf"[{LETTERS}0-9!-&(-;=-~]*")
+RUNS = re.compile(rf"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
 #: Strings that are joined for one call of the tokenizer.
 JOINED = 2048
 
 
 class PrefixTable:
-    """Token counts of every prefix of each distinct word, the word itself included."""
+    """Token counts of every prefix of each distinct word.
+
+    The tokenizer splits a word further, into runs of letters, digits, and runs of other characters,
+    before it merges. In words of Latin letters, digits and ASCII signs (without an apostrophe or the
+    sign that begins special strings) these runs can be told without it, so their prefixes are stored
+    once for all words that share them, in lower case. Other words are stored as they are.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
@@ -53,52 +65,77 @@ class PrefixTable:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith(END_MARK)]] = True
+        #: Tokens of runs, of other words, and of their prefixes.
         self.count: dict[str, int] = {}
+        #: Tokens of whole words, by their UTF-8 bytes.
+        self.whole: dict[bytes, int] = {}
 
-    def count_all(self, texts: list[str]) -> None:
-        """Store the token counts of words or parts of words.
-
-        Words of letters alone are one run each, so many are encoded as one text and told apart by
-        the end marks; if their number doesn't fit, they go one by one, as all other words do.
-        """
-        plain = [t for t in texts if t.isalpha() and t.lower().isalpha()]
-        others = [t for t in texts if not (t.isalpha() and t.lower().isalpha())]
-        parts = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+    def count_runs(self, runs: list[str]) -> None:
+        """Count runs and prefixes of runs: many are encoded as one text, and told apart by the marks that end them."""
+        parts = [runs[at : at + JOINED] for at in range(0, len(runs), JOINED)]
         for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
             last = np.flatnonzero(self.ends[np.array(found.ids, dtype=np.int64)])
-            if len(last) == len(part):
-                self.count.update(zip(part, np.diff(last, prepend=-1).tolist(), strict=True))
-            else:
-                others += part
-        for at in range(0, len(others), JOINED):
-            part = others[at : at + JOINED]
+            if len(last) != len(part):
+                raise ValueError("the tokenizer splits words in another way than this table")
+            self.count.update(zip(part, np.diff(last, prepend=-1).tolist(), strict=True))
+
+    def count_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.count.update((t, len(e.ids)) for t, e in zip(part, found, strict=True))
 
+    def _new_prefixes(self, text: str, fresh: dict[str, None]) -> None:
+        fresh[text] = None
+        if len(text) <= LONG_WORD:
+            for k in range(len(text) - 1, 0, -1):
+                part = text[:k]
+                if part in self.count or part in fresh:
+                    break  # and so are all shorter ones
+                fresh[part] = None
+
     def learn(self, words: list[str]) -> None:
-        """Store all prefixes of those of the words that are new."""
+        """Store all prefixes of the words."""
+        runs: dict[str, None] = {}
+        others: dict[str, None] = {}
+        count = self.count
+        for word in words:
+            if PLAIN.fullmatch(word):
+                for run in RUNS.findall(word.lower()):
+                    if run not in count and run not in runs:
+                        self._new_prefixes(run, runs)
+            elif word not in count and word not in others:
+                self._new_prefixes(word, others)
+        self.count_runs(list(runs))
+        self.count_words(list(others))
+
+    def learn_bytes(self, texts: list[list[bytes]]) -> None:
+        """Store the words of many texts, with all prefixes."""
+        kinds: set[bytes] = set()
+        for words in texts:
+            kinds.update(words)
         if len(self.count) > TABLE_PREFIXES:
             self.count.clear()
-        fresh: dict[str, None] = {}
-        for word in words:
-            if word in self.count or word in fresh:
-                continue
-            fresh[word] = None
-            if len(word) <= LONG_WORD:
-                for k in range(len(word) - 1, 0, -1):
-                    part = word[:k]
-                    if part in self.count or part in fresh:
-                        break  # and so are all shorter ones
-                    fresh[part] = None
-        if fresh:
-            self.count_all(list(fresh))
+            self.whole.clear()
+        fresh = {w: w.decode("utf-8", "replace") for w in kinds if w not in self.whole}
+        self.learn(list(fresh.values()))
+        self.whole.update((raw, self.tokens(word)) for raw, word in fresh.items())
+
+    def tokens(self, part: str) -> int:
+        """Tokens of a word or of the beginning of one."""
+        if PLAIN.fullmatch(part):
+            try:
+                return sum(map(self.count.__getitem__, RUNS.findall(part.lower())))
+            except KeyError:
+                self.learn([part])
+                return self.tokens(part)
+        if part not in self.count:
+            self.count_words([part])
+        return self.count[part]
 
     def within(self, word: str, chars: int) -> int:
         """Tokens of the first `chars` characters of a word."""
-        part = word[:chars]
-        if part and part not in self.count:
-            self.count_all([part])
-        return self.count[part] if part else 0
+        return self.tokens(word[:chars]) if chars else 0
 
 
 @dataclass
@@ -115,11 +152,9 @@ class PrefixCounts:
     def of(cls, text: str, table: PrefixTable) -> PrefixCounts:
         found = [(m.start(), m.group()) for m in WORD.finditer(text)]
         words = [w for _, w in found]
-        table.learn(words)
-        total, through = 0, []
-        for n in map(table.count.__getitem__, words):
-            total += n
-            through.append(total)
+        raw = [w.encode("utf-8", "replace") for w in words]
+        table.learn_bytes([raw])
+        through = list(accumulate(map(table.whole.__getitem__, raw)))
         return cls(table, text, [s for s, _ in found], words, through)
 
     def at(self, chars: int) -> int:
@@ -182,16 +217,18 @@ def count_tokens(docs: DataFrame, path: str, budget: int = 2048, store: bool = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = prefix_table(path)
         for batch in batches:
-            rows: list[list] = [[] for _ in made.fields]
-            for text in batch.column("_larkbase_text"):
-                found = PrefixCounts.of(text.as_py(), own)
-                values = [len(found.text.encode()), found.through[-1] if found.words else 0, found.longest(budget)]
-                for column, value in zip(rows, [*values, found.starts, found.through] if store else values, strict=True):
-                    column.append(value)
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 2
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), *(pa.array(r, k) for r, k in zip(rows, kinds))], [*names, *made.names]
-            )
+            column = batch.column("_larkbase_text")
+            texts = column.cast(pa.binary()).to_pylist()
+            words = [t.split() for t in texts]
+            own.learn_bytes(words)
+            totals = [sum(map(own.whole.__getitem__, w)) for w in words]
+            chars = pc.utf8_length(column).to_pylist()
+            stored = [PrefixCounts.of(t.decode("utf-8", "replace"), own) if store or n > budget else None for t, n in zip(texts, totals, strict=True)]
+            fits = [c if n <= budget else p.longest(budget) for c, n, p in zip(chars, totals, stored, strict=True)]
+            columns = [pa.array([len(t) for t in texts], pa.int64()), pa.array(totals, pa.int64()), pa.array(fits, pa.int64())]
+            if store:
+                columns += [pa.array([p.starts for p in stored], pa.list_(pa.int32())), pa.array([p.through for p in stored], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], [*names, *made.names])
 
     return docs.select(*(F.col(f"`{n}`") for n in names), F.coalesce("text", F.lit("")).alias("_larkbase_text")).mapInArrow(
         run, StructType([*kept, *made.fields])
