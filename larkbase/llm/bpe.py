@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
-from larkbase.llm.common import prepare_python
+from larkbase.llm.common import SMALL_BATCH_BYTES, prepare_python
 
 #: The code points with the Unicode property White_Space, as a character class.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
@@ -152,7 +152,7 @@ def _others(df: DataFrame, *made: str) -> StructType:
 def encode(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
     """The documents, without their text if it isn't to be kept, with `ids` (array of int), `n_tokens` and `round_trip`, whether decoding the ids
     gives the text again."""
-    prepare_python(docs.sparkSession)
+    prepare_python(docs.sparkSession, SMALL_BATCH_BYTES)
     made = ["ids", "n_tokens", "round_trip"]
     kept = _others(docs, *made, *([] if keep_text else ["text"]))
     names = [f.name for f in kept.fields]
@@ -178,7 +178,7 @@ def encode(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows with `decoded`, the text of their `ids` (null: empty)."""
-    prepare_python(encoded.sparkSession)
+    prepare_python(encoded.sparkSession, SMALL_BATCH_BYTES)
     kept = _others(encoded, "decoded")
     names = [f.name for f in kept.fields]
     out = StructType(list(kept.fields)).add("decoded", StringType())

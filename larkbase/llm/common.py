@@ -15,6 +15,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Ceiling for one Arrow batch, so that a run of very long texts stays small in a Python worker.
 ARROW_BATCH_BYTES = 32 << 20
+#: The same where a worker holds large tables besides, and gains nothing from large batches.
+SMALL_BATCH_BYTES = 8 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -59,10 +61,10 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def prepare_python(spark: SparkSession) -> None:
+def prepare_python(spark: SparkSession, batch_bytes: int = ARROW_BATCH_BYTES) -> None:
     """Make the package importable on executors, and limit Arrow batches by bytes as well as by rows."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
 
 
 def id_bucket(doc_id: Column, modulus: int) -> Column:
