@@ -65,3 +65,28 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_are_all_pairs_of_similarity_0_8(spark):
+    import random
+
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    random.seed(3)
+    rows, sets = [], {}
+    for i in range(60):
+        words = [f"w{random.randrange(400)}" for _ in range(random.choice([8, 60, 200]))]
+        for k in range(4):
+            copy = list(words)
+            for _ in range(k * len(words) // 60):
+                copy[random.randrange(len(words))] = f"new{random.random()}"
+            rows.append((10 * i + k, " ".join(copy), "en", "s", 1))
+            sets[10 * i + k] = shingles(rows[-1][1])
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCUMENTS), "").collect()}
+    assert 60 < len(set(root.values())) < len(rows)
+    assert kept == set(root.values())
