@@ -7,7 +7,8 @@ expected tokens are the wanted share of all; cells that reach 1 are taken whole.
 sampled if the uniform number that its id and text hash to is below its cell's probability, so the
 same corpus gives the same sample on any cluster, and equal rows share one decision.
 
-Only cells are ever gathered: up to `driver_cells` of them are raked in the driver, more in Spark.
+Only cells are ever gathered: up to `driver_cells` of them are raked in the driver. More are raked in
+Spark, by the same rounds; then the driver holds the values of each dimension, not their cells.
 
 Defined cases: null source, language or topic are values like any others; texts without words weigh
 nothing and take the probability of their cell; without a topic column, or where it is replaced
@@ -17,14 +18,16 @@ stay, unless they have the names of what is made here.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkbase.llm.common import WORD_PATTERN, materialize
+from larkbase.llm.common import WORD_PATTERN, materialize, prepare_python
 
 DIMENSIONS = ["source", "lang", "topic"]
 
@@ -122,29 +125,58 @@ def inclusion(tokens: np.ndarray, weights: np.ndarray, keep: float) -> np.ndarra
     return out
 
 
-def rake_in_spark(cells: DataFrame, config: MixConfig, rounds: int = 12) -> DataFrame:
-    """The same for more cells than a driver should hold: each round sums and scales in Spark. The
-    values of one dimension are joined by shuffling; the probabilities come from a search for the scale."""
+def rake_in_spark(cells: DataFrame, config: MixConfig) -> DataFrame:
+    """The same for more cells than a driver should hold, to the same rounds and tolerance. A cell's weight
+    is the product of one factor for each of its values: the driver holds the values and their factors,
+    the cells are summed in Spark. The probabilities come from a search for the scale."""
+    spark = cells.sparkSession
     whole = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    now = cells.withColumn("weight", F.when(F.col("tokens") > 0, 1.0).otherwise(0.0))
-    shares = {}
-    for d in DIMENSIONS:
-        totals = cells.groupBy(d).agg(F.sum("tokens").alias("t"))
-        given = config.targets.get(d)
-        if given is None:
-            raw = F.pow(F.col("t").cast("double"), F.lit(config.temper.get(d, 1.0)))
-        else:
-            raw = F.coalesce(*(F.when(F.col(d).eqNullSafe(F.lit(v)), F.lit(float(s))) for v, s in given.items()), F.lit(0.0))
-        raw = totals.select(F.col(d).alias("v"), F.when(F.col("t") > 0, raw).otherwise(0.0).alias("raw"))
-        shares[d] = materialize(raw.crossJoin(F.broadcast(raw.agg(F.sum("raw").alias("all")))).select("v", (F.col("raw") / F.col("all")).alias("share")))
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            held = now.groupBy(F.col(d).alias("h")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("held"))
-            factor = held.join(shares[d], F.col("h").eqNullSafe(F.col("v"))).select(
-                "h", F.when(F.col("held") > 0, F.col("share") * whole / F.col("held")).otherwise(0.0).alias("f")
-            )
-            now = now.join(factor, F.col(d).eqNullSafe(F.col("h"))).select(*DIMENSIONS, "tokens", (F.col("weight") * F.col("f")).alias("weight"))
-        now = materialize(now)
+    if not whole:
+        return cells.withColumns({"weight": F.lit(1.0), "probability": F.lit(float(config.keep))})
+    prepare_python(spark)
+    coded, shares = cells.select(*DIMENSIONS, "tokens"), []
+    for k, d in enumerate(DIMENSIONS):
+        totals = cells.groupBy(d).agg(F.sum("tokens").alias("t")).toPandas()
+        values = [None if pd.isna(v) else v for v in totals[d]]
+        shares.append(target_shares(pd.Series(totals["t"].to_numpy(dtype=float), index=pd.Index(values, dtype=object)), d, config).to_numpy())
+        codes = spark.createDataFrame(list(zip(values, range(len(values)), strict=True)), f"v string, code{k} int")
+        coded = coded.join(codes, F.col(d).eqNullSafe(F.col("v"))).drop("v")
+    coded = materialize(coded)
+    factors = [np.ones(len(s)) for s in shares]
+
+    def held(side: int) -> np.ndarray:
+        own, size = list(factors), len(shares[side])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(size)
+            for batch in batches:
+                codes = [batch.column(f"code{k}").to_numpy() for k in range(len(own))]
+                sums += np.bincount(codes[side], batch.column("tokens").to_numpy() * own[0][codes[0]] * own[1][codes[1]] * own[2][codes[2]], size)
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at])], ["code", "held"])
+
+        parts = coded.select("tokens", "code0", "code1", "code2").mapInArrow(run, "code long, held double")
+        out = np.zeros(size)
+        for r in parts.groupBy("code").agg(F.sum("held").alias("held")).collect():
+            out[r["code"]] = r["held"] / whole
+        return out
+
+    for _ in range(config.rounds):
+        worst = 0.0
+        for k, share in enumerate(shares):
+            now = held(k)
+            worst = max(worst, float(np.abs(now - share).max(initial=0.0)))
+            factors[k] = factors[k] * np.divide(share, now, out=np.zeros_like(share), where=now > 0)
+        if worst < config.tolerance:
+            break
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = [factors[k][batch.column(f"code{k}").to_numpy()] for k in range(len(factors))]
+            weight = np.where(batch.column("tokens").to_numpy() > 0, f[0] * f[1] * f[2], 0.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*DIMENSIONS, "tokens")), pa.array(weight)], [*DIMENSIONS, "tokens", "weight"])
+
+    now = materialize(coded.mapInArrow(weigh, "source string, lang string, topic string, tokens long, weight double"))
     low, high = 0.0, 1.0
     expected = lambda scale: float(now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * scale))).first()[0] or 0)
     while expected(high) < config.keep * whole and high < 1e12:

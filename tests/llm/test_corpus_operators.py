@@ -200,6 +200,24 @@ def test_raking_in_spark_agrees(spark, documents):
     assert all(there[k] == pytest.approx(v, abs=2e-2) for k, v in here.items())
 
 
+def test_raking_in_spark_goes_on_as_far_as_in_the_driver(spark):
+    """Sparse cells, for which raking needs more than 12 rounds."""
+    n = 12
+    cells = pd.DataFrame([(f"s{i}", f"l{j}", "t", 1 + 37 * i * j % 91) for i in range(n) for j in (i, (i + 1) % n)], columns=["source", "lang", "topic", "tokens"])
+    config = mixing.MixConfig(targets={"source": {f"s{i}": i % 3 + 1.0 for i in range(n)}}, keep=0.5, rounds=25)
+    want = mixing.rake(cells, config)
+    assert np.abs(want - mixing.rake(cells, mixing.MixConfig(targets=config.targets, rounds=12))).max() > 1e-3
+    chances = mixing.inclusion(cells["tokens"].to_numpy(dtype=float), want, config.keep)
+    table = mixing.materialize(spark.createDataFrame(list(cells.itertuples(index=False, name=None)), "source string, lang string, topic string, tokens long"))
+    found = {(r.source, r.lang): (r.weight, r.probability) for r in mixing.rake_in_spark(table, config).collect()}
+    for c, w, p in zip(cells.itertuples(), want, chances, strict=True):
+        assert found[c.source, c.lang] == (pytest.approx(w, rel=1e-8), pytest.approx(p, rel=1e-8))
+    early = mixing.MixConfig(targets=config.targets, keep=0.5, tolerance=0.05)
+    want = mixing.rake(cells, early)
+    found = {(r.source, r.lang): r.weight for r in mixing.rake_in_spark(table, early).collect()}
+    assert all(found[c.source, c.lang] == pytest.approx(w, rel=1e-8) for c, w in zip(cells.itertuples(), want, strict=True))
+
+
 def test_sampling(documents, empty):
     rows = mixing.assign(documents)
     assert rows.count() == documents.count()
