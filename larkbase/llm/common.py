@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,29 +15,50 @@ from pyspark.sql import functions as F
 #: Words are runs without ASCII white space; `bytes.split()` cuts at the same six bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Ceiling for one Arrow batch, so that a run of very long texts stays small in a Python worker.
-ARROW_BATCH_BYTES = 32 << 20
-#: The same where a worker holds large tables besides, and gains nothing from large batches.
-SMALL_BATCH_BYTES = 8 << 20
+#: Bytes of one Arrow batch, where the session doesn't say: a run of very long texts, and the tables that
+#: workers hold besides, stay small.
+ARROW_BATCH_BYTES = 8 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (`spark.checkpoint.dir`); a temporary one where it is unset."""
+    """The folder that driver and executors share (`spark.checkpoint.dir`). Where it is unset, a local master
+    gets a temporary one; a cluster's executors could not see that, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="larkbase-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def working_files(spark: SparkSession) -> Iterator[None]:
+    """Deletes, in the end, what operators have materialized inside. What is read lazily from it has to be
+    written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write to the shared folder and read back.
 
     This cuts the lineage, and what is read later is the same rows even if executors are lost and
-    tasks run again. The files live as long as the folder, since lazily read results point at them.
+    tasks run again. The files live until the innermost `working_files` ends; without one, as long as
+    the folder, since lazily read results point at them.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/larkbase/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -61,10 +84,12 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def prepare_python(spark: SparkSession, batch_bytes: int = ARROW_BATCH_BYTES) -> None:
-    """Make the package importable on executors, and limit Arrow batches by bytes as well as by rows."""
+def prepare_python(spark: SparkSession) -> None:
+    """Make the package importable on executors, and limit Arrow batches by bytes as well as by rows: one
+    limit for all operators, unless the session has its own."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
 def id_bucket(doc_id: Column, modulus: int) -> Column:

@@ -1,26 +1,33 @@
 """Quality rules whose cutoffs adapt to each language and source.
 
-Every document is measured once. For each group of language and source, and each measure, a sketch
+Every document is measured once. For each group of language and source, and each rule, a sketch
 counts the documents in log-linear buckets: values below 64 are exact, larger ones fall in buckets
 no wider than a 32nd of their value. Sketches are plain counts, so they merge by addition, in any
-order and with the same result; Spark adds them up before shuffling. A group's cutoff is a fence
-above its upper quartile, as far above as `spread` times the distance between the quartiles, and at
-least `slack`; where a group has under `min_group` documents, the merged sketch of its language
-decides, and below that the merged sketch of all. The cutoffs are then joined to the measures.
+order and with the same result; Spark adds them up before shuffling. A group's sketch is shrunk
+toward its language's and toward that of all documents: each of those is mixed in with the weight of
+a fixed number of documents, at every group size alike, so that a small group borrows its scale and
+a large one has its own. From the mixed sketch comes the cutoff:
 
-The fences are wide, because a document that is merely unusual should stay: only values far outside
-its own group fall.
+* where the quartiles differ, a fence above the upper one, `spread` times their distance away;
+* where they don't (half the group or more shares one value), the first valley above the upper
+  quartile: a value from which on `valley` buckets (two doublings) hold under one in `valley_share`
+  of the weight, while more lies beyond. A group without a valley has no cutoff by that rule.
+
+Shares are taken as what the counts establish: of n events, two standard deviations of a Poisson
+count are left out, so that a few events in a short text condemn nothing. The cutoffs are joined
+back to the measures; a document above any of them falls.
 
 Defined cases: a null text has no words; null language and source are groups of their own; documents
 with fewer than 50 words or mostly repeated windows fail the base rules and take no part in the
-sketches; an empty table gives no rows; other columns stay, unless they have the names of measures.
+sketches; a value at a cutoff stays; repeated rows count each; an empty table gives no rows; other
+columns stay, unless they have the names of measures.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +46,14 @@ RULES = ["symbol_share", "dup_line_share", "repeat_share", "mean_word"]
 @dataclass
 class QualityConfig:
     min_words: int = 50
+    #: Distance of the fence above the upper quartile, in distances between the quartiles.
     spread: int = 6
-    min_group: int = 200
-    #: Least distance of the fence from the quartile, by rule.
-    slack: dict[str, int] = field(
-        default_factory=lambda: {"symbol_share": 2000, "dup_line_share": 3000, "repeat_share": 2500, "mean_word": 400}
-    )
+    #: Buckets that a valley is wide, and the share of the weight (one in so many) that it may hold.
+    valley: int = 64
+    valley_share: int = 1000
+    #: Documents that the sketch of a group's language, and that of all, count as within each group's.
+    language_weight: int = 200
+    overall_weight: int = 50
 
 
 def measure_text(text: bytes) -> tuple[int, ...]:
@@ -108,60 +117,86 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def bucket(value: Column) -> Column:
-    """Log-linear bucket of a non-negative integer, by integers only: 32 buckets to each doubling."""
+    """Log-linear bucket of a non-negative integer, by integers only: 32 buckets to each doubling, without holes."""
     shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
-    return (shift * 64).cast("int") + F.call_function("shiftright", value.cast("long"), shift).cast("int")
+    return (shift * 32 + F.call_function("shiftright", value.cast("long"), shift)).cast("int")
 
 
 def bucket_value(b: Column) -> Column:
     """The least value of a bucket."""
-    return F.call_function("shiftleft", F.pmod(b, F.lit(64)).cast("long"), F.floor(b / 64).cast("int"))
+    shift = F.greatest(F.floor(b / 32) - 1, F.lit(0)).cast("int")
+    return F.call_function("shiftleft", (b - shift * 32).cast("long"), shift)
 
 
 def with_rules(measures: DataFrame) -> DataFrame:
     words, chars = F.col("n_words"), F.col("word_chars")
-    share = lambda part, whole: F.when(whole > 0, F.call_function("div", F.lit(10_000) * part, whole)).otherwise(F.lit(0))
+    whole = lambda part, of: F.when(of > 0, F.call_function("div", part, of)).otherwise(F.lit(0))
+    established = lambda n: F.greatest(n - F.ceil(2 * F.sqrt(n)), F.lit(0))
     return measures.withColumns(
         {
-            "symbol_share": share(F.col("n_symbols"), words),
-            "dup_line_share": share(F.col("n_dup_lines"), F.col("n_text_lines")),
-            "repeat_share": share(F.col("n_repeat_words"), words),
-            "mean_word": F.when(words > 0, F.call_function("div", F.lit(100) * chars, words)).otherwise(F.lit(0)),
+            "symbol_share": whole(10_000 * established(F.col("n_symbols")), words),
+            "dup_line_share": whole(10_000 * established(F.col("n_dup_lines")), F.col("n_text_lines")),
+            "repeat_share": whole(10_000 * established(F.col("n_repeat_words")), words),
+            "mean_word": whole(100 * chars, words),
         }
     )
 
 
-def quartiles(sketch: DataFrame, group: list[str]) -> DataFrame:
-    """(group, rule, n, q1, q3) of sketches: the values at ranks n/4 and 3n/4, from below."""
-    running = Window.partitionBy(*group, "rule").orderBy("bucket")
-    whole = Window.partitionBy(*group, "rule")
-    ranked = sketch.withColumns({"upto": F.sum("n").over(running), "total": F.sum("n").over(whole)})
-    at = lambda quarter: F.min(F.when(F.col("upto") * 4 >= F.col("total") * quarter, bucket_value(F.col("bucket"))))
-    return ranked.groupBy(*group, "rule").agg(F.max("total").alias("total"), at(1).alias("q1"), at(3).alias("q3"))
-
-
-def thresholds(measures: DataFrame, config: QualityConfig) -> DataFrame:
-    """(lang, source, a cutoff for each rule), from the sketches of the documents that pass the base rules."""
+def sketches(measures: DataFrame, config: QualityConfig) -> DataFrame:
+    """(lang, source, rule, bucket, n) over the documents that pass the base rules."""
     good = with_rules(measures).filter(~base_failed(config))
     stacked = good.select(
         "lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), bucket(F.col(r)).alias("bucket")) for r in RULES))).alias("x")
     ).select("lang", "source", "x.*")
-    sketch = materialize(stacked.groupBy("lang", "source", "rule", "bucket").agg(F.count(F.lit(1)).alias("n")))
-    slack = F.coalesce(*(F.when(F.col("rule") == r, F.lit(s)) for r, s in config.slack.items()))
-    fence = F.col("q3") + F.greatest(F.lit(config.spread) * (F.col("q3") - F.col("q1")), slack)
-
-    def level(group: list[str], name: str) -> DataFrame:
-        merged = sketch.groupBy(*group, "rule", "bucket").agg(F.sum("n").alias("n"))
-        q = quartiles(merged, group)
-        return q.select(*group, "rule", F.col("total").alias(f"{name}_n"), fence.cast("long").alias(f"{name}_cut"))
-
-    own, language, all_ = level(["lang", "source"], "own"), level(["lang"], "lang"), level([], "all")
-    both = own.join(
-        language.withColumnRenamed("lang", "lang_"), F.col("lang").eqNullSafe(F.col("lang_")) & (own["rule"] == language["rule"]), "left"
-    ).select("lang", "source", own["rule"].alias("rule"), "own_n", "own_cut", "lang_n", "lang_cut")
-    three = both.join(F.broadcast(all_), "rule", "left")
-    cut = F.when(F.col("own_n") >= config.min_group, F.col("own_cut")).when(F.col("lang_n") >= config.min_group, F.col("lang_cut")).otherwise(F.col("all_cut"))
-    return three.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == r, cut)).alias(f"cut_{r}") for r in RULES))
+    return stacked.groupBy("lang", "source", "rule", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mixed(sketch: DataFrame, config: QualityConfig) -> DataFrame:
+    """(lang, source, rule, bucket, weight): each group's sketch with its language's and that of all mixed in.
+
+    Weights are exact: with N the documents of the language and M those of all, a bucket weighs
+    own * N * M + language_weight * language's * M + overall_weight * all's * N.
+    """
+    exact = lambda c: F.col(c).cast("decimal(38,0)")
+    language = sketch.groupBy("lang", "rule", "bucket").agg(F.sum("n").alias("n"))
+    overall = sketch.groupBy("rule", "bucket").agg(F.sum("n").alias("n"))
+    # All rules have the same documents, so one of them tells how many there are.
+    sizes = language.filter(F.col("rule") == RULES[0]).groupBy(F.col("lang").alias("lang_")).agg(F.sum("n").alias("n_lang"))
+    size = overall.filter(F.col("rule") == RULES[0]).agg(F.sum("n").alias("n_all"))
+    groups = sketch.select("lang", "source").distinct().join(sizes, F.col("lang").eqNullSafe(F.col("lang_"))).crossJoin(F.broadcast(size))
+    groups = materialize(groups.select("lang", "source", "n_lang", "n_all"))
+    own = sketch.withColumnsRenamed({"lang": "lang_", "source": "source_"}).join(
+        groups, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
+    ).select("lang", "source", "rule", "bucket", (exact("n") * exact("n_lang") * exact("n_all")).alias("weight"))
+    from_language = language.withColumnRenamed("lang", "lang_").join(groups, F.col("lang").eqNullSafe(F.col("lang_"))).select(
+        "lang", "source", "rule", "bucket", (exact("n") * exact("n_all") * config.language_weight).cast("decimal(38,0)").alias("weight")
+    )
+    # At most 1,888 buckets for each rule, so one row of the groups meets a small table.
+    from_all = groups.crossJoin(F.broadcast(overall)).select(
+        "lang", "source", "rule", "bucket", (exact("n") * exact("n_lang") * config.overall_weight).cast("decimal(38,0)").alias("weight")
+    )
+    parts = own.unionByName(from_language).unionByName(from_all)
+    return parts.groupBy("lang", "source", "rule", "bucket").agg(F.sum("weight").alias("weight"))
+
+
+def thresholds(measures: DataFrame, config: QualityConfig) -> DataFrame:
+    """(lang, source, a cutoff for each rule, null where nothing is cut)."""
+    every = Window.partitionBy("lang", "source", "rule")
+    ordered = every.orderBy("bucket")
+    ranked = mixed(materialize(sketches(measures, config)), config).withColumns(
+        {
+            "upto": F.sum("weight").over(ordered),
+            "total": F.sum("weight").over(every),
+            "ahead": F.coalesce(F.sum("weight").over(ordered.rangeBetween(1, config.valley)), F.lit(0)),
+        }
+    )
+    at = lambda quarter: F.min(F.when(F.col("upto") * 4 >= F.col("total") * quarter, F.col("bucket")))
+    empty = (F.col("upto") * 4 >= F.col("total") * 3) & (F.col("upto") < F.col("total")) & (F.col("ahead") * config.valley_share <= F.col("total"))
+    found = ranked.groupBy("lang", "source", "rule").agg(at(1).alias("low"), at(3).alias("high"), F.min(F.when(empty, F.col("bucket"))).alias("valley"))
+    q1, q3 = bucket_value(F.col("low")), bucket_value(F.col("high"))
+    # A bucket's values all stay if its least one does.
+    cut = F.when(q3 > q1, q3 + config.spread * (q3 - q1)).otherwise(bucket_value(F.col("valley") + 1) - 1).cast("long")
+    return found.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == r, cut)).alias(f"cut_{r}") for r in RULES))
 
 
 def base_failed(config: QualityConfig) -> Column:

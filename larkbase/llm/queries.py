@@ -136,19 +136,29 @@ measures AS (SELECT r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
     FROM words LEFT JOIN line_counts USING (r) LEFT JOIN repeats USING (r)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measures),
 valued AS (SELECT r, lang, source, base_failed, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'mean_word']) AS rule, unnest([
-    CASE WHEN n_words > 0 THEN 10000 * n_symbols // n_words ELSE 0 END, CASE WHEN n_text_lines > 0 THEN 10000 * n_dup_lines // n_text_lines ELSE 0 END,
-    CASE WHEN n_words > 0 THEN 10000 * n_repeat_words // n_words ELSE 0 END, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END]) AS v FROM judged),
+    CASE WHEN n_words > 0 THEN 10000 * greatest(n_symbols - CAST(ceil(2 * sqrt(n_symbols)) AS BIGINT), 0) // n_words ELSE 0 END,
+    CASE WHEN n_text_lines > 0 THEN 10000 * greatest(n_dup_lines - CAST(ceil(2 * sqrt(n_dup_lines)) AS BIGINT), 0) // n_text_lines ELSE 0 END,
+    CASE WHEN n_words > 0 THEN 10000 * greatest(n_repeat_words - CAST(ceil(2 * sqrt(n_repeat_words)) AS BIGINT), 0) // n_words ELSE 0 END,
+    CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END]) AS v FROM judged),
 bucketed AS (SELECT lang, source, rule, greatest(length(bin(v)) - 6, 0) AS shift, v FROM valued WHERE NOT base_failed),
-sketch AS (SELECT lang, source, rule, (v >> shift) << shift AS low, count(*) AS n FROM bucketed GROUP BY ALL),
-levels AS (SELECT 1 AS level, lang, source, rule, low, n FROM sketch
-    UNION ALL SELECT 2, lang, NULL, rule, low, sum(n) FROM sketch GROUP BY lang, rule, low
-    UNION ALL SELECT 3, NULL, NULL, rule, low, sum(n) FROM sketch GROUP BY rule, low),
-ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY low) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM levels),
-quartiles AS (SELECT level, lang, source, rule, max(total) AS total, min(low) FILTER (WHERE upto * 4 >= total) AS q1, min(low) FILTER (WHERE upto * 4 >= total * 3) AS q3
-    FROM ranked GROUP BY level, lang, source, rule),
-fences AS (SELECT *, q3 + greatest(6 * (q3 - q1), CASE rule WHEN 'symbol_share' THEN 2000 WHEN 'mean_word' THEN 400 ELSE CASE rule WHEN 'dup_line_share' THEN 3000 ELSE 2500 END END) AS fence FROM quartiles),
-cuts AS (SELECT o.lang, o.source, o.rule, CASE WHEN o.total >= 200 THEN o.fence WHEN l.total >= 200 THEN l.fence ELSE a.fence END AS cut
-    FROM fences o JOIN fences l ON l.level = 2 AND l.lang IS NOT DISTINCT FROM o.lang AND l.rule = o.rule JOIN fences a ON a.level = 3 AND a.rule = o.rule WHERE o.level = 1),
+sketch AS (SELECT lang, source, rule, CAST(shift * 32 + (v >> shift) AS INTEGER) AS b, CAST(count(*) AS HUGEINT) AS n FROM bucketed GROUP BY ALL),
+of_lang AS (SELECT lang, rule, b, CAST(sum(n) AS HUGEINT) AS n FROM sketch GROUP BY ALL),
+of_all AS (SELECT rule, b, CAST(sum(n) AS HUGEINT) AS n FROM sketch GROUP BY ALL),
+groups AS (SELECT lang, source, l.n AS n_lang, a.n AS n_all FROM (SELECT DISTINCT lang, source FROM sketch) g
+    JOIN (SELECT lang AS k, CAST(sum(n) AS HUGEINT) AS n FROM of_lang WHERE rule = 'symbol_share' GROUP BY lang) l ON l.k IS NOT DISTINCT FROM g.lang
+    CROSS JOIN (SELECT CAST(sum(n) AS HUGEINT) AS n FROM of_all WHERE rule = 'symbol_share') a),
+parts AS (SELECT g.lang, g.source, rule, b, n * n_lang * n_all AS w FROM sketch s JOIN groups g ON s.lang IS NOT DISTINCT FROM g.lang AND s.source IS NOT DISTINCT FROM g.source
+    UNION ALL SELECT g.lang, g.source, rule, b, n * n_all * 200 FROM of_lang s JOIN groups g ON s.lang IS NOT DISTINCT FROM g.lang
+    UNION ALL SELECT g.lang, g.source, rule, b, n * n_lang * 50 FROM of_all s CROSS JOIN groups g),
+mixed AS (SELECT lang, source, rule, b, CAST(sum(w) AS HUGEINT) AS w FROM parts GROUP BY ALL),
+ranked AS (SELECT *, CAST(sum(w) OVER o AS HUGEINT) AS upto, CAST(sum(w) OVER (PARTITION BY lang, source, rule) AS HUGEINT) AS total,
+    CAST(coalesce(sum(w) OVER (PARTITION BY lang, source, rule ORDER BY b RANGE BETWEEN 1 FOLLOWING AND 64 FOLLOWING), 0) AS HUGEINT) AS ahead
+    FROM mixed WINDOW o AS (PARTITION BY lang, source, rule ORDER BY b)),
+places AS (SELECT lang, source, rule, min(b) FILTER (WHERE upto * 4 >= total) AS low, min(b) FILTER (WHERE upto * 4 >= total * 3) AS high,
+    min(b) FILTER (WHERE upto * 4 >= total * 3 AND upto < total AND ahead * 1000 <= total) + 1 AS beyond FROM ranked GROUP BY ALL),
+marks AS (SELECT *, greatest(low // 32 - 1, 0) AS s1, greatest(high // 32 - 1, 0) AS s3, greatest(beyond // 32 - 1, 0) AS sv FROM places),
+quartiles AS (SELECT lang, source, rule, CAST(low - s1 * 32 AS BIGINT) << s1 AS q1, CAST(high - s3 * 32 AS BIGINT) << s3 AS q3, (CAST(beyond - sv * 32 AS BIGINT) << sv) - 1 AS valley FROM marks),
+cuts AS (SELECT lang, source, rule, CASE WHEN q3 > q1 THEN q3 + 6 * (q3 - q1) ELSE valley END AS cut FROM quartiles),
 passed AS (SELECT v.r, bool_and(c.cut IS NULL OR v.v <= c.cut) AS ok FROM valued v
     LEFT JOIN cuts c ON c.lang IS NOT DISTINCT FROM v.lang AND c.source IS NOT DISTINCT FROM v.source AND c.rule = v.rule GROUP BY v.r)
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,

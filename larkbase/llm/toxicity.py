@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkbase.llm.common import SMALL_BATCH_BYTES, id_bucket, materialize, prepare_python
+from larkbase.llm.common import id_bucket, materialize, prepare_python
 
 ORDER = 6
 PAD = "^"
@@ -282,14 +282,14 @@ def _measure(texts: DataFrame, model: ToxicityModel) -> DataFrame:
                 [batch.column("toxic"), *(pa.array([f[i] for f in found], pa.float64()) for i in range(3))], ["toxic", "a", "b", "c"]
             )
 
-    prepare_python(texts.sparkSession, SMALL_BATCH_BYTES)
+    prepare_python(texts.sparkSession)
     return texts.select("toxic", "text").mapInArrow(run, "toxic int, a double, b double, c double")
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """All columns of `docs` but text, with `score` (0 to 1) and `predicted` (1 from 0.5); one scan."""
     spark = docs.sparkSession
-    prepare_python(spark, SMALL_BATCH_BYTES)
+    prepare_python(spark)
     shared = spark.sparkContext.broadcast(model)
     kept = [f for f in docs.schema.fields if f.name not in ("text", "score", "predicted")]
     names = [f.name for f in kept]
@@ -314,7 +314,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The documents, with all their columns, whose score is under 0.5."""
     spark = docs.sparkSession
-    prepare_python(spark, SMALL_BATCH_BYTES)
+    prepare_python(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
