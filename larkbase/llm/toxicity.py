@@ -1,122 +1,113 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two character models of order six, one of toxic and one of ordinary texts, share every lower
-order: below the top order the probabilities are Kneser-Ney continuation counts pooled over both
-classes, so that an expression which neither class has seen counts for neither. Each word's two
-log-likelihoods are compared after division by the word's length; a text is judged by its worst
-word, by its mean per character and by its number of words, through a logistic curve that is
-fitted on labelled texts which the counts have not seen.
-
-Counting runs in Spark over all labelled training texts. What reaches the driver is the table of
-expressions above a cutoff that is relative to the number of training texts, so its size does not
-follow the corpus. Scoring is one scan without a shuffle.
-
-Defined cases: null and empty texts have no words and get the score of an empty text; labels that
-are null or neither 0 nor 1 are ignored, and a document labelled twice counts as toxic if any label
-says so; equal texts count once in training; if either class has no training text, every score is
-the share of toxic labels (0 without labels). Columns beyond doc_id, text and toxic are ignored.
+Expressions are character n-grams of order eight within words, padded before the first letter and
+closed by an end mark. Two models, one of toxic and one of ordinary texts, are made of the counts of
+their own expressions with absolute discounts, and share every lower order: there the probabilities
+are interpolated Kneser-Ney continuation counts, pooled over both classes. So an expression which is
+rare or which neither class has seen backs off to the same probability in both and counts for
+neither. No expression is left out, however rare.
+
+A passage is compared by its length-normalised log-likelihoods: log P(toxic) - log P(ordinary) of its
+words, over the number of words. A text's score is a logistic curve over that of the whole text and
+that of its three most toxic words, with the logarithm of the number of words, as a longer text has
+more words among which to find three. The curve is set by a bounded sample of labelled texts which
+the counts have not seen: of each class the first quarter by an id hash, at most `calibration_docs`.
+All other labelled texts are counted, in Spark, and the probabilities are computed there too.
+
+Scoring needs one number for each expression and one for each history. Up to `held_expressions` of
+them are sent to all executors as sorted hashes, and a scan scores every text; beyond it, the
+distinct words of the texts are joined to them, and the words' numbers to the texts. Both give the
+same scores, up to the rounding of sums.
+
+Defined cases: null and empty texts, and texts without a letter or digit, have no words and get the
+score of an empty text; labels that are null or neither 0 nor 1 are ignored, and a document labelled
+twice counts as toxic if any label says so; equal texts count once in training, by the label of the
+least id; if either class has fewer than four texts to learn from, every score is the share of toxic
+labels (0 without labels). Columns beyond doc_id, text and toxic are ignored in training and kept in
+results, unless they have the names of what is made.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from larkbase.llm.common import id_bucket, materialize, prepare_python
 
-ORDER = 6
+ORDER = 8
 PAD = "^"
 END = "$"
-LETTERS = re.compile(r"[^\W_]+")
+RUNS = re.compile(r"[^\W_]+")
+SEED = 42
+#: Most toxic words that stand for a text's most toxic passage.
+PEAK = 3
+#: Distinct words or expressions that a task holds before it passes their counts or numbers on.
+HELD = 150_000
 
 
 @dataclass
 class ToxicityConfig:
     #: Every `held_out_mod`-th document by id hash is never learned from.
     held_out_mod: int = 5
-    #: Remainder of the id hash whose labelled documents set the logistic curve.
-    calibration_remainder: int = 4
     #: Bound of the sample that sets the logistic curve, per class (the counts have no such bound).
     calibration_docs: int = 2000
-    #: Expressions in fewer than this share of training texts (and fewer than two) have no vote.
-    min_share: float = 1e-4
-    #: The cutoff rises until no more expressions than this remain.
-    max_expressions: int = 400_000
+    #: Expressions and histories (16 bytes each) up to which they are sent to all executors.
+    held_expressions: int = 8_000_000
     #: Labels of up to this many rows are sent to all executors; beyond it they are joined by shuffling.
     broadcast_labels: int = 2_000_000
 
 
 @dataclass
 class ToxicityModel:
-    seen: dict[str, float] = field(default_factory=dict)
-    unseen: dict[str, float] = field(default_factory=dict)
+    """(key, gain) of expressions and of histories, by the hash of their text, and the curve."""
+
+    gains: DataFrame | None = None
+    unseen: DataFrame | None = None
     weights: tuple[float, ...] | None = None
     prior: float = 0.0
+    held: bool = True
 
-    def word(self, raw: str) -> tuple[float, int]:
-        """Log-likelihood difference of a word's worst part, divided by its length, and that length."""
-        worst, length = -math.inf, 0
-        for part in LETTERS.findall(raw.lower()):
-            padded = PAD * (ORDER - 1) + part + END
-            total = 0.0
-            for i in range(len(part) + 1):
-                gram = padded[i : i + ORDER]
-                gain = self.seen.get(gram)
-                total += self.unseen.get(gram[:-1], 0.0) if gain is None else gain
-            length += len(part) + 1
-            worst = max(worst, total / (len(part) + 1))
-        return (worst, length) if length else (0.0, 0)
-
-    def features(self, text: str | None, cache: dict[str, tuple[float, int]]) -> tuple[float, float, float]:
-        """(worst word, mean per character, log of the number of words)."""
-        words = (text or "").split()
-        if not words:
-            return 0.0, 0.0, 0.0
-        pairs = [cache[w] for w in words]
-        chars = sum(n for _, n in pairs)
-        mean = sum(d * n for d, n in pairs) / chars if chars else 0.0
-        return max(d for d, _ in pairs), mean, math.log1p(len(words))
-
-    def score(self, features: np.ndarray) -> np.ndarray:
+    def scores(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(features), self.prior)
         z = design(features) @ np.array(self.weights)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def column(self) -> Column:
+        """The score from columns whole, peak and log_words."""
+        if self.weights is None:
+            return F.lit(self.prior)
+        z = F.lit(self.weights[0])
+        for w, c in zip(self.weights[1:], FEATURES, strict=True):
+            z = z + F.lit(w) * F.col(c)
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
-class WordCache(dict):
-    """Scores by word; emptied when it has grown large, which costs time only."""
-
-    def __init__(self, model: ToxicityModel, most: int = 150_000):
-        super().__init__()
-        self.model, self.most = model, most
 
-    def __missing__(self, word: str) -> tuple[float, int]:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = self.model.word(word)
-        return value
+FEATURES = ["whole", "peak", "log_words"]
 
 
 def design(features: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(features)), features])
 
 
-def fit_logistic(features: np.ndarray, toxic: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[float, ...]:
+def fit_logistic(features: np.ndarray, toxic: np.ndarray, rounds: int = 50, ridge: float = 1e-4) -> tuple[float, ...]:
     """Ridge logistic regression by Newton steps; both classes weigh the same."""
     x = design(features)
     share = toxic.mean()
     weight = np.where(toxic == 1, 0.5 / share, 0.5 / (1 - share)) * 1.0
     w = np.zeros(x.shape[1])
-    penalty = np.diag([0.0] + [ridge] * (x.shape[1] - 1)) * len(x) * 0.01 + 1e-6 * np.eye(x.shape[1])
+    penalty = np.diag([0.0] + [ridge] * (x.shape[1] - 1)) * len(x) + 1e-6 * np.eye(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - toxic)) + penalty @ w
@@ -128,51 +119,110 @@ def fit_logistic(features: np.ndarray, toxic: np.ndarray, rounds: int = 50, ridg
     return tuple(float(v) for v in w)
 
 
-def continuation_probabilities(grams: list[str]) -> dict[str, float]:
-    """Interpolated Kneser-Ney probability of each gram's last character after its shortened history.
+# ---------------------------------------------------------------- counting
+
+
+def expressions(run: str) -> list[str]:
+    """The expressions of a run of letters and digits, one for each character and one for its end."""
+    padded = PAD * (ORDER - 1) + run + END
+    return [padded[i : i + ORDER] for i in range(len(run) + 1)]
+
+
+def count_expressions(texts: DataFrame) -> DataFrame:
+    """(gram, toxic, ordinary) over texts with a label, (text, toxic)."""
+    prepare_python(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def passed() -> pa.RecordBatch:
+            grams: dict[str, list[int]] = {}
+            for side in (0, 1):
+                for word, n in words[side].items():
+                    for part in RUNS.findall(word.lower()):
+                        for g in expressions(part):
+                            grams.setdefault(g, [0, 0])[side] += n
+                words[side].clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(grams, pa.string()), *(pa.array([n[s] for n in grams.values()], pa.int64()) for s in (1, 0))], ["gram", "toxic", "ordinary"]
+            )
+
+        for batch in batches:
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                words[toxic].update((text.as_py() or "").split())
+                if len(words[0]) + len(words[1]) > HELD:
+                    yield passed()
+        yield passed()
+
+    counted = texts.select("text", "toxic").mapInArrow(run, "gram string, toxic long, ordinary long")
+    return counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+# ---------------------------------------------------------------- probabilities
+
+
+def discount(once: int | None, twice: int | None) -> float:
+    """The absolute discount, from how many counts are 1 and 2."""
+    return once / (once + 2 * twice) if once and twice else 0.5
+
+
+def ones_and_twos(counts: DataFrame, column: str) -> tuple[int, int]:
+    found = counts.agg(*(F.sum((F.col(column) == k).cast("long")) for k in (1, 2))).first()
+    return found[0] or 0, found[1] or 0
 
-    The counts are numbers of distinct left extensions, pooled over the classes.
+
+def history(length: int) -> Column:
+    return F.substring("gram", 1, length).alias("history")
+
+
+def continuation_probabilities(grams: DataFrame) -> DataFrame:
+    """(gram, p): the interpolated Kneser-Ney probability of the last character of each expression's
+    ending of length ORDER - 1, given the characters before it.
+
+    A count is the number of distinct characters that stand before, so each level is counted from the
+    distinct expressions of the one above; probabilities are then made from the shortest up.
     """
-    levels: list[dict[str, int]] = []
-    kinds = set(grams)
-    for _ in range(ORDER - 1):
-        counts: dict[str, int] = {}
-        for g in kinds:
-            counts[g[1:]] = counts.get(g[1:], 0) + 1
+    levels, kinds = [], grams.select("gram")
+    for k in range(ORDER - 1, 0, -1):
+        counts = materialize(kinds.groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
         levels.append(counts)
-        kinds = set(counts)
-    below: dict[str, float] = {"": 1.0 / max(1, len(kinds))}
-    for counts in reversed(levels):
-        once, twice = sum(v == 1 for v in counts.values()), sum(v == 2 for v in counts.values())
-        discount = once / (once + 2 * twice) if once and twice else 0.5
-        total: dict[str, int] = {}
-        types: dict[str, int] = {}
-        for g, v in counts.items():
-            total[g[:-1]] = total.get(g[:-1], 0) + v
-            types[g[:-1]] = types.get(g[:-1], 0) + 1
-        below = {
-            g: (v - discount) / total[g[:-1]] + discount * types[g[:-1]] / total[g[:-1]] * below.get(g[1:], below.get("", 1e-3))
-            for g, v in counts.items()
-        }
+        kinds = counts.select("gram")
+    below = None
+    for k, counts in enumerate(reversed(levels), 1):
+        d = discount(*ones_and_twos(counts, "n"))
+        after = counts.withColumn("history", F.substring("gram", 1, k - 1))
+        totals = after.groupBy("history").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
+        if below is None:
+            shorter, p = after.join(totals, "history"), F.lit(1.0 / max(1, counts.count()))
+        else:
+            suffix = below.select(F.col("gram").alias("suffix"), F.col("p").alias("p_below"))
+            shorter, p = after.withColumn("suffix", F.substring("gram", 2, k - 1)).join(totals, "history").join(suffix, "suffix"), F.col("p_below")
+        below = materialize(shorter.select("gram", ((F.col("n") - d) / F.col("total") + d * F.col("types") / F.col("total") * p).alias("p")))
     return below
 
 
-def expression_gains(kept: pd.DataFrame, discounts: tuple[float, float]) -> tuple[dict[str, float], dict[str, float]]:
-    """log P(toxic) - log P(ordinary) of each kept gram, and of anything else after each history."""
-    shared = continuation_probabilities(kept["gram"].tolist())
-    history = kept["gram"].str[:-1]
-    back = kept["gram"].str[1:].map(shared).to_numpy()
-    logs, rest = [], []
-    for c, d in zip(("toxic", "ordinary"), discounts, strict=True):
-        total = kept[f"{c}_history"].to_numpy(dtype=float)
-        own = np.where(total > 0, np.maximum(kept[c].to_numpy(dtype=float) - d, 0) / np.maximum(total, 1), 0.0)
-        used = pd.Series(own).groupby(history.to_numpy()).sum()
-        left = (1 - used).clip(lower=1e-6)
-        rest.append(left)
-        logs.append(np.log(own + left.loc[history.to_numpy()].to_numpy() * back))
-    gains = dict(zip(kept["gram"], (logs[0] - logs[1]).tolist(), strict=True))
-    unseen = np.log(rest[0]) - np.log(rest[1])
-    return gains, {h: float(v) for h, v in unseen.items()}
+def log_ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, gain) of each expression that was counted, and of anything else after each history."""
+    shared = continuation_probabilities(grams).select(F.col("gram").alias("suffix"), "p")
+    sides = ("toxic", "ordinary")
+    d = {c: discount(*ones_and_twos(grams, c)) for c in sides}
+    totals = grams.groupBy(history(ORDER - 1)).agg(
+        *(F.sum(c).alias(f"{c}_total") for c in sides), *(F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_types") for c in sides)
+    )
+    # What each class leaves to the shared backoff after a history; all of it where it has not seen the history.
+    left = {c: F.when(F.col(f"{c}_total") > 0, F.lit(d[c]) * F.col(f"{c}_types") / F.col(f"{c}_total")).otherwise(F.lit(1.0)) for c in sides}
+    totals = materialize(totals.select("history", *(f"{c}_total" for c in sides), *(left[c].alias(f"{c}_left") for c in sides)))
+    own = {
+        c: F.when(F.col(f"{c}_total") > 0, F.greatest(F.col(c) - d[c], F.lit(0.0)) / F.col(f"{c}_total")).otherwise(F.lit(0.0)) + F.col(f"{c}_left") * F.col("p")
+        for c in sides
+    }
+    joined = grams.withColumns({"history": F.substring("gram", 1, ORDER - 1), "suffix": F.substring("gram", 2, ORDER - 1)}).join(totals, "history").join(shared, "suffix")
+    seen = joined.select(F.xxhash64("gram").alias("key"), (F.log(own["toxic"]) - F.log(own["ordinary"])).alias("gain"))
+    unseen = totals.select(F.xxhash64("history").alias("key"), (F.log("toxic_left") - F.log("ordinary_left")).alias("gain"))
+    return materialize(seen), materialize(unseen)
+
+
+# ---------------------------------------------------------------- training
 
 
 def labelled(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) -> DataFrame:
@@ -192,138 +242,200 @@ def labelled(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) -> Data
 def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = None) -> ToxicityModel:
     """Fit the models and the curve on the documents whose id hash is not held out."""
     config = config or ToxicityConfig()
-    spark = docs.sparkSession
     rows = labelled(docs, labels, config)
     # One document stands for all equal texts, so that a much copied text counts once.
     first = materialize(
         rows.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "doc_id", "toxic")
         .groupBy("key")
         .agg(F.min(F.struct("doc_id", "toxic")).alias("first"))
-        .select("first.*")
+        .select("key", "first.*")
     )
     sizes = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_rows = sum(sizes.values())
     prior = sizes.get(1, 0) / n_rows if n_rows else 0.0
-    if not sizes.get(1) or not sizes.get(0):
+    if min(sizes.get(1, 0), sizes.get(0, 0)) < 4:
         return ToxicityModel(prior=prior)
-    small = n_rows <= config.broadcast_labels
-    first = F.broadcast(first) if small else first
-    texts = docs.select("doc_id", "text").join(first, "doc_id")
-    calibrating = id_bucket(F.col("doc_id"), config.held_out_mod) == config.calibration_remainder
-
-    words = (
-        texts.filter(~calibrating)
-        .select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
-        .groupBy("word")
-        .agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("ordinary"))
-    )
-    padded = F.concat(F.lit(PAD * (ORDER - 1)), "word", F.lit(END))
-    grams = materialize(
-        words.select(
-            "toxic",
-            "ordinary",
-            F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))).alias("gram"),
-        )
-        .groupBy("gram")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    )
-    share = max(2, math.ceil(config.min_share * n_rows))
-    n = F.col("toxic") + F.col("ordinary")
-    by_count = sorted(
-        ((r["n"], r["kinds"]) for r in grams.select(F.least(n, F.lit(10_000)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("kinds")).collect()),
-        reverse=True,
-    )
-    kinds, cutoff = 0, share
-    for count, k in by_count:
-        kinds += k
-        if kinds > config.max_expressions:
-            cutoff = max(share, count + 1)
-            break
-    ones = grams.agg(*(F.sum((F.col(c) == k).cast("long")).alias(f"{c}{k}") for c in ("toxic", "ordinary") for k in (1, 2))).first()
-    discounts = tuple(
-        (ones[f"{c}1"] or 1) / ((ones[f"{c}1"] or 1) + 2 * (ones[f"{c}2"] or 1)) for c in ("toxic", "ordinary")
-    )
-    histories = grams.groupBy(F.substring("gram", 1, ORDER - 1).alias("history")).agg(
-        F.sum("toxic").alias("toxic_history"), F.sum("ordinary").alias("ordinary_history")
-    )
-    kept = (
-        grams.filter(n >= cutoff)
-        .withColumn("history", F.substring("gram", 1, ORDER - 1))
-        .join(histories, "history")
-        .drop("history")
-        .toPandas()
-    )
-    if kept.empty:
-        return ToxicityModel(prior=prior)
-    seen, unseen = expression_gains(kept, discounts)
-    model = ToxicityModel(seen=seen, unseen=unseen, prior=prior)
-
-    # The curve: a bounded sample per class, in the order of an id hash.
-    ids = first.filter(calibrating).select("doc_id", "toxic")
-    sample = (
-        ids.filter(F.col("toxic") == 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.calibration_docs)
-        .unionByName(ids.filter(F.col("toxic") == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.calibration_docs))
-    )
-    measured = materialize(_measure(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), model)).toPandas()
-    if measured["toxic"].nunique() < 2:
-        measured = pd.DataFrame({"a": [2.0, 0.0], "b": [0.0, 0.0], "c": [3.0, 3.0], "toxic": [1, 0]})
-    model.weights = fit_logistic(measured[["a", "b", "c"]].to_numpy(dtype=float), measured["toxic"].to_numpy(dtype=float))
+    order = (F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
+    sample = [first.filter(F.col("toxic") == c).orderBy(*order).limit(min(config.calibration_docs, sizes[c] // 4)) for c in (1, 0)]
+    sample = materialize(sample[0].unionByName(sample[1]))
+
+    # An id may stand in several rows, so the text's hash is part of a row's name.
+    def texts_of(chosen: DataFrame) -> DataFrame:
+        chosen = chosen.select("doc_id", F.col("key").alias("_larkbase_key"), "toxic")
+        if n_rows <= config.broadcast_labels:
+            chosen = F.broadcast(chosen)
+        whole = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_larkbase_key"))
+        return whole.join(chosen, ["doc_id", "_larkbase_key"])
+
+    counted = first.join(F.broadcast(sample.select("key")), "key", "left_anti")
+    grams = materialize(count_expressions(texts_of(counted)))
+    gains, unseen = log_ratios(grams)
+    model = ToxicityModel(gains, unseen, prior=prior, held=gains.count() + unseen.count() <= config.held_expressions)
+    measured = with_features(texts_of(sample).select("toxic", "text"), model)
+    found = materialize(measured.select("toxic", *FEATURES)).toArrow().to_pandas()
+    model.weights = fit_logistic(found[FEATURES].to_numpy(dtype=float), found["toxic"].to_numpy(dtype=float))
     return model
 
 
-def _measure(texts: DataFrame, model: ToxicityModel) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+# ---------------------------------------------------------------- scoring
+
+
+def hashes(texts: list[str], seed: int = SEED) -> np.ndarray:
+    """The keys of expressions or histories, as Spark's xxhash64 makes them."""
+    return np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), seed) for t in texts), np.uint64, len(texts)).view(np.int64)
+
+
+class Held:
+    """The model's numbers in sorted arrays, and those of the words that have been asked for."""
+
+    def __init__(self, gains: tuple[np.ndarray, np.ndarray], unseen: tuple[np.ndarray, np.ndarray]):
+        self.gains, self.unseen = gains, unseen
+        self.words: dict[str, float] = {}
+
+    @staticmethod
+    def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, number) of each key; 0 where it is not."""
+        at = np.minimum(np.searchsorted(table[0], keys), max(0, len(table[0]) - 1))
+        found = table[0][at] == keys if len(table[0]) else np.zeros(len(keys), dtype=bool)
+        return found, np.where(found, table[1][at] if len(table[0]) else 0.0, 0.0)
+
+    def learn(self, words: list[str]) -> None:
+        """Log-likelihood differences of new words; NaN for those without a letter or digit."""
+        grams: list[str] = []
+        ends = []
+        for word in words:
+            for part in RUNS.findall(word.lower()):
+                grams += expressions(part)
+            ends.append(len(grams))
+        found, values = self.look_up(self.gains, hashes(grams))
+        missing = np.flatnonzero(~found)
+        values[missing] = self.look_up(self.unseen, hashes([grams[i][:-1] for i in missing.tolist()]))[1]
+        ends = np.array(ends, dtype=np.int64)
+        sizes = np.diff(ends, prepend=0)
+        totals = np.bincount(np.repeat(np.arange(len(words)), sizes), values, len(words))
+        self.words.update(zip(words, np.where(sizes > 0, totals, np.nan).tolist(), strict=True))
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """`FEATURES` of each text."""
+        split = [(t or "").split() for t in texts]
+        out = np.zeros((len(texts), len(FEATURES)))
+        for start in range(0, len(split), 256):
+            part = split[start : start + 256]
+            if len(self.words) > HELD:
+                self.words.clear()
+            if fresh := {w for words in part for w in words if w not in self.words}:
+                self.learn(list(fresh))
+            for row, words in enumerate(part, start):
+                values = np.fromiter(map(self.words.__getitem__, words), float, len(words))
+                values = values[~np.isnan(values)]
+                if n := len(values):
+                    top = values if n <= PEAK else np.partition(values, n - PEAK)[-PEAK:]
+                    out[row] = values.sum() / n, top.mean(), math.log1p(n)
+        return out
+
+
+_held: dict[str, Held] = {}
+
+
+def _shared(model: ToxicityModel):
+    """A function that gives a worker its table; one table for each worker process, of the latest model."""
+    tables = []
+    for df in (model.gains, model.unseen):
+        found = df.select("key", "gain").toArrow()
+        keys, values = (np.asarray(found.column(c)) for c in ("key", "gain"))
+        order = np.argsort(keys, kind="stable")
+        tables.append((keys[order], values[order]))
+    shared, name = model.gains.sparkSession.sparkContext.broadcast(tuple(tables)), uuid.uuid4().hex
+
+    def table() -> Held:
+        if name not in _held:
+            _held.clear()
+            _held[name] = Held(*shared.value)
+        return _held[name]
+
+    return table
+
+
+def with_features(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """All columns of `docs` with `FEATURES`; columns of these names are replaced."""
+    if model.gains is None:
+        return docs.drop(*FEATURES).withColumns({c: F.lit(0.0) for c in FEATURES})
+    return _features_by_scan(docs, model) if model.held else _features_by_join(docs, model)
+
+
+def _features_by_scan(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    prepare_python(docs.sparkSession)
+    table = _shared(model)
+    kept = [f for f in docs.schema.fields if f.name not in FEATURES]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(shared.value)
+        own = table()
         for batch in batches:
-            found = [shared.value.features(t.as_py(), cache) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), *(pa.array([f[i] for f in found], pa.float64()) for i in range(3))], ["toxic", "a", "b", "c"]
-            )
+            found = own.features(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(found[:, i]) for i in range(len(FEATURES)))], [*names, *FEATURES])
 
-    prepare_python(texts.sparkSession)
-    return texts.select("toxic", "text").mapInArrow(run, "toxic int, a double, b double, c double")
+    out = StructType(list(kept))
+    for c in FEATURES:
+        out = out.add(c, DoubleType())
+    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, out)
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """All columns of `docs` but text, with `score` (0 to 1) and `predicted` (1 from 0.5); one scan."""
-    spark = docs.sparkSession
-    prepare_python(spark)
-    shared = spark.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name not in ("text", "score", "predicted")]
-    names = [f.name for f in kept]
+def _features_by_join(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The same without a table on any executor: words of texts, expressions of distinct words, and back."""
+    prepare_python(docs.sparkSession)
+    names = [c for c in docs.columns if c not in FEATURES]
+    rows = materialize(docs.select(*(F.col(f"`{n}`") for n in names), F.monotonically_increasing_id().alias("_larkbase_row")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        cache = WordCache(own)
+    # Words go by two hashes, as a very long one would be repeated for each of its expressions.
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [own.features(t.as_py(), cache) for t in batch.column("text")]
-            scores = own.score(np.array(found, dtype=float).reshape(-1, 3))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype("int32"))],
-                [*names, "score", "predicted"],
-            )
+            for row, text in zip(batch.column("_larkbase_row").to_pylist(), batch.column("text"), strict=True):
+                found = Counter(w for w in (text.as_py() or "").split() if RUNS.search(w.lower()))
+                own = list(found)
+                columns = [pa.array([row] * len(own), pa.int64()), pa.array(hashes(own)), pa.array(hashes(own, 7)), pa.array(own, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found.values(), pa.int64())], ["_larkbase_row", "a", "b", "word", "n"])
 
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, grams = [], []
+            for at in range(batch.num_rows):
+                own = [g for run in RUNS.findall(batch.column("word")[at].as_py().lower()) for g in expressions(run)]
+                names += [at] * len(own)
+                grams += own
+                if len(grams) > HELD or at + 1 == batch.num_rows:
+                    of = pa.array(names, pa.int64())
+                    keys = [pa.array(hashes(grams)), pa.array(hashes([g[:-1] for g in grams]))]
+                    yield pa.RecordBatch.from_arrays([batch.column("a").take(of), batch.column("b").take(of), *keys], ["a", "b", "key", "history"])
+                    names, grams = [], []
+
+    held = materialize(rows.select("_larkbase_row", "text").mapInArrow(words, "_larkbase_row long, a long, b long, word string, n long"))
+    grams = held.select("a", "b", "word").dropDuplicates(["a", "b"]).mapInArrow(parts, "a long, b long, key long, history long")
+    grams = grams.join(model.gains.select("key", "gain"), "key", "left")
+    grams = grams.join(model.unseen.select(F.col("key").alias("history"), F.col("gain").alias("other")), "history", "left")
+    values = materialize(grams.groupBy("a", "b").agg(F.sum(F.coalesce("gain", "other", F.lit(0.0))).alias("value")))
+    # The most toxic words are the last of a sorted list with as many copies of each word as could matter.
+    copies = F.array_repeat("value", F.least(F.col("n"), F.lit(PEAK)).cast("int"))
+    texts = held.drop("word").join(values, ["a", "b"]).groupBy("_larkbase_row").agg(
+        F.sum(F.col("value") * F.col("n")).alias("total"), F.sum("n").alias("n"), F.flatten(F.collect_list(copies)).alias("values")
+    )
+    top = F.slice(F.sort_array("values", asc=False), 1, PEAK)
+    made = texts.select(
+        "_larkbase_row", (F.col("total") / F.col("n")).alias("whole"), (F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top)).alias("peak"), F.log1p("n").alias("log_words")
+    )
+    return rows.join(made, "_larkbase_row", "left").select(*(F.col(f"`{n}`") for n in names), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in FEATURES))
 
-    out = StructType(kept).add("score", DoubleType()).add("predicted", IntegerType())
-    return docs.select(*(F.col(f"`{n}`") for n in names), "text").mapInArrow(run, out)
+
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """All columns of `docs` but text, with `score` (0 to 1) and `predicted` (1 from 0.5)."""
+    kept = [c for c in docs.columns if c not in ("text", "score", "predicted", *FEATURES)]
+    judged = with_features(docs.select(*(F.col(f"`{c}`") for c in kept), "text"), model).withColumn("score", model.column())
+    return judged.select(*(F.col(f"`{c}`") for c in kept), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The documents, with all their columns, whose score is under 0.5."""
-    spark = docs.sparkSession
-    prepare_python(spark)
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        cache = WordCache(own)
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            found = [own.features(t.as_py(), cache) for t in batch.column(at)]
-            scores = own.score(np.array(found, dtype=float).reshape(-1, 3))
-            yield batch.filter(pa.array(scores < 0.5))
-
-    return docs.mapInArrow(run, docs.schema)
+    if any(c in FEATURES for c in docs.columns):
+        renamed = docs.withColumnsRenamed({c: f"_larkbase_{c}" for c in FEATURES})
+        return drop_toxic(renamed, model).withColumnsRenamed({f"_larkbase_{c}": c for c in FEATURES}).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return with_features(docs, model).filter(model.column() < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))

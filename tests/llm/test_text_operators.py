@@ -2,7 +2,6 @@
 
 import hashlib
 
-import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -10,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from larkbase.llm import bpe, quality, tokencount, toxicity
+from larkbase.llm import bpe, quality, tokencount
 from tests.llm.conftest import prose
 
 BYTES, WORDS = (str(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -128,63 +127,6 @@ def test_sketches_merge_to_the_same_cutoffs(spark):
     assert cuts[0] == cuts[1]
 
 
-# ---------------------------------------------------------------- toxicity
-
-
-def toxic_corpus(spark, n=240):
-    rows, labels = [], []
-    for i in range(n):
-        toxic = i % 4 == 0
-        words = prose(i, 50).split()
-        if toxic:
-            words[10 + i % 20] = ["vilefoo", "grubbax", "vilefool"][i % 3] + "."
-        rows.append((i, " ".join(words)))
-        labels.append((i, 1, int(toxic)))
-    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-
-
-def test_held_out_toxicity(spark):
-    docs, labels = toxic_corpus(spark)
-    model = toxicity.train(docs, labels)
-    scored = toxicity.score(docs, model).join(labels, "doc_id").filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).collect()
-    assert len(scored) > 20
-    assert all(r.predicted == r.toxic for r in scored)
-    assert all(0 <= r.score <= 1 for r in scored)
-    kept = toxicity.drop_toxic(docs, model)
-    assert kept.columns == docs.columns and kept.count() == 180
-
-
-def test_toxicity_does_not_learn_from_held_out_labels(spark):
-    docs, labels = toxic_corpus(spark)
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    flipped = labels.withColumn("toxic", F.when(held_out, 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    scores = [sorted(map(tuple, toxicity.score(docs, toxicity.train(docs, x)).select("doc_id", "score").collect())) for x in (labels, flipped)]
-    assert scores[0] == scores[1]
-
-
-def test_toxicity_without_labels_and_with_odd_rows(spark, clashing, empty):
-    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    model = toxicity.train(clashing, none)
-    assert {r.score for r in toxicity.score(clashing, model).collect()} == {0.0}
-    odd = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, 1, 0), (3, 1, 7), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
-    toxicity.score(clashing, toxicity.train(clashing, odd)).collect()
-    assert toxicity.score(empty, toxicity.train(empty, odd)).count() == 0
-
-
-def test_shared_backoff_probabilities_add_up():
-    grams = ["^^^^^a", "^^^^ab", "^^^abc", "^^^^^b", "^^^^ba", "^^^^ac"]
-    below = toxicity.continuation_probabilities(grams)
-    total = sum(p for g, p in below.items() if g[:-1] == "^^^^")
-    assert total <= 1 + 1e-9 and all(p > 0 for p in below.values())
-
-
-def test_logistic_fit_separates():
-    x = np.column_stack([np.linspace(-2, 2, 40), np.zeros(40), np.ones(40)])
-    y = (x[:, 0] > 0).astype(float)
-    p = 1 / (1 + np.exp(-(toxicity.design(x) @ np.array(toxicity.fit_logistic(x, y)))))
-    assert ((p > 0.5) == (y == 1)).all()
-
-
 @pytest.mark.parametrize("operator", [lambda d: bpe.encode(d, BYTES), lambda d: bpe.digest(d, BYTES), lambda d: tokencount.count_tokens(d, WORDS), quality.judge])
 def test_odd_tables(operator, documents, clashing, empty):
     assert operator(documents).count() == documents.count()
