@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkbase.llm import linededup, mixing, secretscan, sharding, simhash, topk
+from larkbase.llm import linededup, mixing, secretscan, sharding, simhash
 from tests.llm.conftest import prose
 
 # ---------------------------------------------------------------- sharding
@@ -267,37 +267,6 @@ def test_secret_scan_of_odd_tables(clashing, empty, forest):
     secretscan.scan(clashing, forest).collect()
 
 
-# ---------------------------------------------------------------- search
-
-
-def slow_top_k(vectors, queries, k):
-    out = set()
-    usable = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors if v and all(x is not None and np.isfinite(x) for x in v)}
-    for q in queries:
-        if q in usable:
-            scores = sorted((-sum(a * b for a, b in zip(usable[q], v, strict=True)), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]))
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])}
-    return out
-
-
-@pytest.mark.parametrize(("n", "k", "config"), [(300, 10, {}), (150, 3, {"block": 20, "group": 4, "leaf": 4, "pivots": 5}), (5, 10, {"leaf": 1})])
-def test_search(spark, n, k, config):
-    rng = np.random.default_rng(n)
-    centres = rng.normal(size=(4, 8))
-    rows = [(i, [float(np.float32(x)) for x in centres[i % 4] + 0.2 * rng.normal(size=8)]) for i in range(n)]
-    rows += [(n + i, rows[0][1]) for i in range(25)]  # ties
-    rows += [(10_000, None), (10_001, []), (10_002, [1.0, None] + [0.0] * 6), (10_003, [float("nan")] * 8), (10_004, [float("inf")] * 8), (10_005, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "id long, vector array<float>")
-    found = topk.top_k(df, df.filter(F.col("id") % 10 == 0), topk.TopKConfig(k=k, **config)).collect()
-    assert {tuple(r) for r in found} == slow_top_k(rows, [i for i, _ in rows if i % 10 == 0], k)
-    assert len(found) == len(set(map(tuple, found)))
-
-
-def test_search_of_nothing(spark):
-    df = spark.createDataFrame([], "id long, vector array<float>")
-    assert topk.top_k(df, df).count() == 0
-
-
 # ---------------------------------------------------------------- odd tables
 
 
