@@ -32,6 +32,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 _scopes: list[list[str]] = []
 
 
@@ -44,8 +50,8 @@ def working_files(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            fs, at = file_system(spark, path)
+            fs.delete(at, True)
 
 
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -99,13 +105,3 @@ def id_bucket(doc_id: Column, modulus: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: Names of the columns that stand for a text in joins; odd ones, so that they clash with none of the user's.
-TEXT_KEY = ["_larkbase_text_a", "_larkbase_text_b"]
-
-
-def text_key(text: Column) -> list[Column]:
-    """Two 64-bit hashes of a text (null: empty)."""
-    whole = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(whole).alias(TEXT_KEY[0]), F.xxhash64(F.reverse(whole), F.lit(7)).alias(TEXT_KEY[1])]

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkbase.llm import linededup, mixing, secretscan, sharding, simhash
+from larkbase.llm import mixing, secretscan, sharding, simhash
 from tests.llm.conftest import prose
 
 # ---------------------------------------------------------------- sharding
@@ -134,40 +134,6 @@ def test_long_chains_of_links(spark):
     assert dict(map(tuple, simhash.components(edges).collect())) == {**{i: 0 for i in range(1, 61)}, 101: 100}
 
 
-# ---------------------------------------------------------------- lines
-
-
-def slow_lines(texts, min_docs, keep_first_of=None):
-    key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
-    split = [(t or "").split("\n") for t in texts]
-    count = Counter(k for lines in split for k in {key(x) for x in lines} if k)
-    return [(len(lines), [x for x in lines if count[key(x)] < min_docs]) for lines in split]
-
-
-def test_lines(spark, clashing):
-    texts = [f"Common line\n{prose(i, 10)}\n  COMMON line \t\n\nÉtat {i % 5}" for i in range(12)] + ["common LINE", "x\n\x0b y", "\n\n", None]
-    texts += ["twice\ntwice"] * 3
-    docs = spark.createDataFrame([(i % 9, t, "keep") for i, t in enumerate(texts)], "doc_id long, text string, key string")
-    want = Counter((i % 9, n, n - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest()) for (i, _), (n, left) in zip(enumerate(texts), slow_lines(texts, 3), strict=True))
-    got = linededup.drop_lines(docs, min_docs=3)
-    assert Counter((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got.collect()) == want
-    assert linededup.drop_lines(clashing).count() == clashing.count()
-
-
-def test_runs_give_the_same_in_any_batches(spark):
-    texts = [f"shared {i % 7}\nown {i}" for i in range(60)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    results = [sorted(map(tuple, linededup.drop_lines(docs, 5, batch_bits=b, fanout=f).collect())) for b, f in ((1, 2), (3, 2), (2, 3))]
-    assert results[0] == results[1] == results[2]
-    assert all(r[3] == 1 for r in results[0])
-
-
-def test_first_text_may_keep_its_lines(spark):
-    docs = spark.createDataFrame([(i, f"shared passage\nown {i}") for i in range(12)] + [(50, "shared passage\nown 3")], "doc_id long, text string")
-    kept = linededup.drop_lines(docs, 10, keep_first=True).filter(F.col("text").contains("shared")).select("text").distinct()
-    assert kept.count() == 1
-
-
 # ---------------------------------------------------------------- mixing
 
 
@@ -270,7 +236,7 @@ def test_secret_scan_of_odd_tables(clashing, empty, forest):
 # ---------------------------------------------------------------- odd tables
 
 
-@pytest.mark.parametrize("operator", [sharding.assign_shards, simhash.group, simhash.drop_near_copies, linededup.drop_lines])
+@pytest.mark.parametrize("operator", [sharding.assign_shards, simhash.group, simhash.drop_near_copies])
 def test_odd_tables(operator, clashing, empty):
     operator(clashing).collect()
     assert operator(empty).count() == 0
