@@ -33,12 +33,11 @@ import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
@@ -122,10 +121,47 @@ def fit_logistic(features: np.ndarray, toxic: np.ndarray, rounds: int = 50, ridg
 # ---------------------------------------------------------------- counting
 
 
-def expressions(run: str) -> list[str]:
-    """The expressions of a run of letters and digits, one for each character and one for its end."""
-    padded = PAD * (ORDER - 1) + run + END
-    return [padded[i : i + ORDER] for i in range(len(run) + 1)]
+def spread(words: Iterable[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """All runs of the words in one padded string, where each expression begins in it, and its word's number."""
+    pieces, owners, lengths = [], [], []
+    for i, word in enumerate(words):
+        for run in RUNS.findall(word.lower()):
+            pieces.append(PAD * (ORDER - 1) + run + END)
+            owners.append(i)
+            lengths.append(len(run) + 1)
+    sizes = np.array(lengths, dtype=np.int64)
+    starts = np.cumsum(sizes + ORDER - 1) - sizes - ORDER + 1
+    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return "".join(pieces), np.repeat(starts, sizes) + inside, np.repeat(np.array(owners, dtype=np.int64), sizes)
+
+
+#: Odd factors of the characters of an expression.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def keys(text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the expressions that begin at `starts`, and of their histories: sums of the code points
+    by their factors."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    history = np.zeros(len(starts), dtype=np.uint64)
+    for k in range(ORDER - 1):
+        history += points[starts + k] * FACTORS[k]
+    return (history + points[starts + ORDER - 1] * FACTORS[-1]).view(np.int64), history.view(np.int64)
+
+
+def keyed(values: DataFrame) -> DataFrame:
+    """(key, gain) of (text, gain), the texts being expressions or histories."""
+    prepare_python(values.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            size = len(texts[0]) if texts else 0
+            # A history is followed by anything, which its key leaves out.
+            whole = keys("".join(texts) + END, np.arange(len(texts)) * size)[0 if size == ORDER else 1]
+            yield pa.RecordBatch.from_arrays([pa.array(whole), batch.column("gain")], ["key", "gain"])
+
+    return values.select("text", "gain").mapInArrow(run, "key long, gain double")
 
 
 def count_expressions(texts: DataFrame) -> DataFrame:
@@ -136,16 +172,17 @@ def count_expressions(texts: DataFrame) -> DataFrame:
         words: tuple[Counter, Counter] = (Counter(), Counter())
 
         def passed() -> pa.RecordBatch:
-            grams: dict[str, list[int]] = {}
-            for side in (0, 1):
-                for word, n in words[side].items():
-                    for part in RUNS.findall(word.lower()):
-                        for g in expressions(part):
-                            grams.setdefault(g, [0, 0])[side] += n
-                words[side].clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(grams, pa.string()), *(pa.array([n[s] for n in grams.values()], pa.int64()) for s in (1, 0))], ["gram", "toxic", "ordinary"]
-            )
+            both = list(words[0] | words[1])
+            text, starts, owners = spread(both)
+            _, first, at = np.unique(keys(text, starts)[0], return_index=True, return_inverse=True)
+            counts = []
+            for side in (1, 0):
+                n = np.array([words[side][w] for w in both], dtype=np.float64)
+                counts.append(np.bincount(at, n[owners], len(first)).astype(np.int64))
+            grams = [text[i : i + ORDER] for i in starts[first].tolist()]
+            for side in words:
+                side.clear()
+            return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *map(pa.array, counts)], ["gram", "toxic", "ordinary"])
 
         for batch in batches:
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
@@ -217,9 +254,9 @@ def log_ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
         for c in sides
     }
     joined = grams.withColumns({"history": F.substring("gram", 1, ORDER - 1), "suffix": F.substring("gram", 2, ORDER - 1)}).join(totals, "history").join(shared, "suffix")
-    seen = joined.select(F.xxhash64("gram").alias("key"), (F.log(own["toxic"]) - F.log(own["ordinary"])).alias("gain"))
-    unseen = totals.select(F.xxhash64("history").alias("key"), (F.log("toxic_left") - F.log("ordinary_left")).alias("gain"))
-    return materialize(seen), materialize(unseen)
+    seen = joined.select(F.col("gram").alias("text"), (F.log(own["toxic"]) - F.log(own["ordinary"])).alias("gain"))
+    unseen = totals.select(F.col("history").alias("text"), (F.log("toxic_left") - F.log("ordinary_left")).alias("gain"))
+    return materialize(keyed(seen)), materialize(keyed(unseen))
 
 
 # ---------------------------------------------------------------- training
@@ -280,11 +317,6 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = No
 # ---------------------------------------------------------------- scoring
 
 
-def hashes(texts: list[str], seed: int = SEED) -> np.ndarray:
-    """The keys of expressions or histories, as Spark's xxhash64 makes them."""
-    return np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), seed) for t in texts), np.uint64, len(texts)).view(np.int64)
-
-
 class Held:
     """The model's numbers in sorted arrays, and those of the words that have been asked for."""
 
@@ -295,25 +327,22 @@ class Held:
     @staticmethod
     def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, number) of each key; 0 where it is not."""
-        at = np.minimum(np.searchsorted(table[0], keys), max(0, len(table[0]) - 1))
-        found = table[0][at] == keys if len(table[0]) else np.zeros(len(keys), dtype=bool)
-        return found, np.where(found, table[1][at] if len(table[0]) else 0.0, 0.0)
+        if not len(table[0]):
+            return np.zeros(len(keys), dtype=bool), np.zeros(len(keys))
+        # Distinct keys in order, so that neighbours are looked up one after the other.
+        kinds, back = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(table[0], kinds), len(table[0]) - 1)
+        found = table[0][at] == kinds
+        return found[back], np.where(found, table[1][at], 0.0)[back]
 
     def learn(self, words: list[str]) -> None:
         """Log-likelihood differences of new words; NaN for those without a letter or digit."""
-        grams: list[str] = []
-        ends = []
-        for word in words:
-            for part in RUNS.findall(word.lower()):
-                grams += expressions(part)
-            ends.append(len(grams))
-        found, values = self.look_up(self.gains, hashes(grams))
-        missing = np.flatnonzero(~found)
-        values[missing] = self.look_up(self.unseen, hashes([grams[i][:-1] for i in missing.tolist()]))[1]
-        ends = np.array(ends, dtype=np.int64)
-        sizes = np.diff(ends, prepend=0)
-        totals = np.bincount(np.repeat(np.arange(len(words)), sizes), values, len(words))
-        self.words.update(zip(words, np.where(sizes > 0, totals, np.nan).tolist(), strict=True))
+        text, starts, owners = spread(words)
+        grams, histories = keys(text, starts)
+        found, values = self.look_up(self.gains, grams)
+        values[~found] = self.look_up(self.unseen, histories[~found])[1]
+        totals = np.bincount(owners, values, len(words))
+        self.words.update(zip(words, np.where(np.bincount(owners, minlength=len(words)) > 0, totals, np.nan).tolist(), strict=True))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """`FEATURES` of each text."""
@@ -392,24 +421,18 @@ def _features_by_join(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for batch in batches:
             for row, text in zip(batch.column("_larkbase_row").to_pylist(), batch.column("text"), strict=True):
                 found = Counter(w for w in (text.as_py() or "").split() if RUNS.search(w.lower()))
-                own = list(found)
-                columns = [pa.array([row] * len(own), pa.int64()), pa.array(hashes(own)), pa.array(hashes(own, 7)), pa.array(own, pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found.values(), pa.int64())], ["_larkbase_row", "a", "b", "word", "n"])
+                columns = [pa.array([row] * len(found), pa.int64()), pa.array(found, pa.string()), pa.array(found.values(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["_larkbase_row", "word", "n"])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, grams = [], []
-            for at in range(batch.num_rows):
-                own = [g for run in RUNS.findall(batch.column("word")[at].as_py().lower()) for g in expressions(run)]
-                names += [at] * len(own)
-                grams += own
-                if len(grams) > HELD or at + 1 == batch.num_rows:
-                    of = pa.array(names, pa.int64())
-                    keys = [pa.array(hashes(grams)), pa.array(hashes([g[:-1] for g in grams]))]
-                    yield pa.RecordBatch.from_arrays([batch.column("a").take(of), batch.column("b").take(of), *keys], ["a", "b", "key", "history"])
-                    names, grams = [], []
-
-    held = materialize(rows.select("_larkbase_row", "text").mapInArrow(words, "_larkbase_row long, a long, b long, word string, n long"))
+            for own in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
+                text, starts, owners = spread(own.column("word").to_pylist())
+                of = pa.array(owners)
+                yield pa.RecordBatch.from_arrays([own.column("a").take(of), own.column("b").take(of), *map(pa.array, keys(text, starts))], ["a", "b", "key", "history"])
+
+    held = rows.select("_larkbase_row", "text").mapInArrow(words, "_larkbase_row long, word string, n long")
+    held = materialize(held.withColumns({"a": F.xxhash64("word"), "b": F.xxhash64(F.lit(7), "word")}))
     grams = held.select("a", "b", "word").dropDuplicates(["a", "b"]).mapInArrow(parts, "a long, b long, key long, history long")
     grams = grams.join(model.gains.select("key", "gain"), "key", "left")
     grams = grams.join(model.unseen.select(F.col("key").alias("history"), F.col("gain").alias("other")), "history", "left")

@@ -2,10 +2,10 @@
 
 import math
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from larkbase.llm import toxicity
@@ -28,7 +28,9 @@ def toxic_corpus(spark, n=240):
 
 
 def key(text):
-    return int(np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).astype(np.int64))
+    """Of an expression or a history."""
+    value = sum(ord(c) * int(f) for c, f in zip(text, toxicity.FACTORS, strict=False)) % (1 << 64)
+    return value - (1 << 64) if value >> 63 else value
 
 
 def d_of(counts):
@@ -36,6 +38,9 @@ def d_of(counts):
     return once / (once + 2 * twice) if once and twice else 0.5
 
 
+PADDED = SimpleNamespace(order=toxicity.ORDER)
+
+
 class Plain:
     """Both models by recursion over the definition, from lists of words by class."""
 
@@ -141,7 +146,7 @@ def test_features_by_definition(spark):
     for r in toxicity.with_features(docs.limit(20), model).collect():
         words = []
         for w in r.text.split():
-            grams = [g for run in toxicity.RUNS.findall(w.lower()) for g in toxicity.expressions(run)]
+            grams = [g for run in toxicity.RUNS.findall(w.lower()) for g in Plain.grams(PADDED, run)]
             words.append(sum(gains.get(key(g), unseen.get(key(g[:-1]), 0.0)) for g in grams))
         want = (sum(words) / len(words), sum(sorted(words)[-3:]) / 3, math.log1p(len(words)))
         assert (r.whole, r.peak, r.log_words) == pytest.approx(want, abs=1e-9)
