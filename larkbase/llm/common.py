@@ -105,3 +105,20 @@ def id_bucket(doc_id: Column, modulus: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a key table that are sent to all executors (some 40 bytes each), and rows of one key that one task takes.
+SENT_KEYS, ROWS_OF_TASK = 1_000_000, 100_000
+
+
+def join_each(rows: DataFrame, each: DataFrame, key: str, dealt_by: str) -> DataFrame:
+    """Inner join of rows with `each`, one row for each key with `n`, how many rows have it. A large table is
+    joined by shuffling; rows of a frequent key are then dealt to several tasks by a hash of column `dealt_by`."""
+    if each.count() <= SENT_KEYS:
+        return rows.join(F.broadcast(each.drop("n")), key)
+    # There are at most rows / ROWS_OF_TASK frequent keys.
+    tasks = F.ceil(F.col("n") / ROWS_OF_TASK).cast("int")
+    frequent = each.filter(F.col("n") > ROWS_OF_TASK).select(key, tasks.alias("_larkbase_tasks"))
+    dealt = rows.join(F.broadcast(frequent), key, "left").withColumn("_larkbase_deal", F.pmod(F.xxhash64(dealt_by), F.coalesce("_larkbase_tasks", F.lit(1))).cast("int"))
+    repeated = each.withColumn("_larkbase_deal", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("n")
+    return dealt.drop("_larkbase_tasks").join(repeated, [key, "_larkbase_deal"]).drop("_larkbase_deal")

@@ -9,12 +9,18 @@ the weight-3 word and one of the added points is within 4 of both.
 
 Fingerprints within 4 bits are found by counting errors over the segments. Either some segment has
 none, and then one of the other two has at most two: the key is the exact segment with a Golay key of
-the other. Or each has one or two: the key is a Golay key of each. So every linked pair meets in some
-bucket, of 34 or 36 key bits. Equal fingerprints are merged before. Each partition of keys is sorted
-and read as a stream; the pairs in a bucket are verified by their exact distance, and what leaves a
-task is a spanning forest of the links it has found, never all pairs of a group. A bucket that is
-large is cut again by five exact blocks of 12 or 13 bits, one of which any linked pair shares.
-Components follow from the forests by large-star and small-star rounds in Spark.
+the other. Or each has one or two, at most one of them two: the key is a Golay key of that one with a
+half of each other segment, since one error leaves a half of it exact. So every linked pair meets in
+some bucket, of 33 or 34 key bits, by about 95 keys a fingerprint. Equal fingerprints are merged before.
+
+Each partition of keys is sorted and read as a stream; the pairs in a bucket are verified by their
+exact distance, and what leaves a task is a spanning forest of the links it has found, never all pairs
+of a group. In a large bucket everything is first compared with one member after the other that is not
+linked yet, which links a group of near copies without its pairs; then only pairs that these left
+unconnected are compared, within five exact blocks of 12 or 13 bits, one of which any linked pair
+shares. A bucket beyond what one task should hold is passed on, and dealt by those blocks to others.
+Components follow from the forests by large-star and small-star rounds in Spark, in which the edges of
+a node with very many are dealt to several tasks.
 
 Defined cases: a null text is empty; texts without a word have fingerprint zero and are linked like
 any others; texts with fewer words than a shingle have their whole sequence as the only shingle; rows
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from larkbase.llm.common import prepare_python, materialize
+from larkbase.llm.common import join_each, materialize, prepare_python
 
 SHINGLE = 4
 SEED = 42
@@ -46,6 +52,10 @@ GENERATOR = 0b101011100011
 #: (first bit, number of bits) of the blocks that cut a large bucket.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 LARGE_BUCKET = 2048
+#: Members of a large bucket that all others are compared with.
+STARS = 24
+#: Rows of a bucket that one task takes; the rows of a larger one are passed on.
+HELD_BUCKET = 2_000_000
 HASHED_AT_ONCE = 1 << 16
 
 
@@ -105,21 +115,22 @@ def bucket_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, fingerprint) of every bucket of each fingerprint (int64 in, int64 out)."""
     bits = prints.view(np.uint64)
     exact = [((bits >> np.uint64(first)) & np.uint64((1 << n) - 1)).astype(np.int64) for first, n in SEGMENTS]
+    halves = [(e >> 11, e & 0x7FF) for e in exact]
     near = [golay_keys(e) for e in exact]
     keys, owners = [], []
 
-    def put(key: np.ndarray, valid: np.ndarray) -> None:
-        owner = np.broadcast_to(prints.reshape((-1,) + (1,) * (key.ndim - 1)), key.shape)
-        keys.append(key[valid])
-        owners.append(owner[valid])
-
-    for x in range(3):
-        for y in range(3):
-            if x != y:
-                tag = np.int64(1 + 3 * x + y)
-                put((tag << 40) | (exact[x][:, None] << 12) | near[y], near[y] >= 0)
-    a, b, c = near[0][:, :, None, None], near[1][:, None, :, None], near[2][:, None, None, :]
-    put((a << 24) | (b << 12) | c, (a >= 0) & (b >= 0) & (c >= 0))
+    def put(tag: int, whole: np.ndarray, golay: np.ndarray) -> None:
+        valid = golay >= 0
+        keys.append(((tag << 40) | (whole[:, None] << 12) | golay)[valid])
+        owners.append(np.broadcast_to(prints[:, None], golay.shape)[valid])
+
+    for y in range(3):
+        x, z = (s for s in range(3) if s != y)
+        put(1 + x + 3 * y, exact[x], near[y])
+        put(1 + z + 3 * y, exact[z], near[y])
+        for i, one in enumerate(halves[x]):
+            for j, other in enumerate(halves[z]):
+                put(16 + 4 * y + 2 * i + j, one << 11 | other, near[y])
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -145,37 +156,68 @@ class Forest:
 
 
 def link_runs(keys: np.ndarray, prints: np.ndarray, forest: Forest, max_bits: int = MAX_BITS) -> None:
-    """Verify all pairs of rows with the same key; equal keys stand together."""
+    """Verify the pairs of rows with the same key; equal keys stand together."""
     if len(keys) < 2:
         return
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
-    for start, size in zip(starts[sizes > LARGE_BUCKET].tolist(), sizes[sizes > LARGE_BUCKET].tolist(), strict=True):
-        part = np.unique(prints[start : start + size])
-        for first, n in BLOCKS:
-            block = (part.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << n) - 1)
-            order = np.argsort(block, kind="stable")
-            _link_shifts(block[order], part[order], forest, max_bits)
-    if (sizes > LARGE_BUCKET).any():
-        small = np.repeat(sizes <= LARGE_BUCKET, sizes)
+    large = sizes > LARGE_BUCKET
+    for start, size in zip(starts[large].tolist(), sizes[large].tolist(), strict=True):
+        link_large(np.unique(prints[start : start + size]), forest, max_bits)
+    if large.any():
+        small = np.repeat(~large, sizes)
         keys, prints = keys[small], prints[small]
-    _link_shifts(keys, prints, forest, max_bits)
-
-
-def _link_shifts(keys: np.ndarray, prints: np.ndarray, forest: Forest, max_bits: int) -> None:
     at, shift = np.arange(len(keys)), 1
     while True:
         at = at[: np.searchsorted(at, len(keys) - shift)]
         at = at[keys[at] == keys[at + shift]]
         if not len(at):
             return
-        x, y = prints[at], prints[at + shift]
-        linked = (np.bitwise_count((x ^ y).view(np.uint64)) <= max_bits) & (x != y)
-        for a, b in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
-            forest.join(a, b)
+        _join(prints[at], prints[at + shift], forest, max_bits)
         shift += 1
 
 
+def _join(x: np.ndarray, y: np.ndarray, forest: Forest, max_bits: int) -> None:
+    linked = (np.bitwise_count((x ^ y).view(np.uint64)) <= max_bits) & (x != y)
+    for a, b in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
+        forest.join(a, b)
+
+
+def link_large(prints: np.ndarray, forest: Forest, max_bits: int = MAX_BITS) -> None:
+    """Connect distinct fingerprints, all that are linked, without comparing pairs that are connected already."""
+    # label: the first member found linked to each, itself if none; members of one label are connected.
+    label = np.arange(len(prints))
+    alone = np.arange(len(prints))
+    for _ in range(STARS):
+        if len(alone) < 2:
+            break
+        centre = alone[len(alone) // 2]
+        near = np.bitwise_count((prints ^ prints[centre]).view(np.uint64)) <= max_bits
+        held = np.unique(label[near])
+        for i in np.flatnonzero(near).tolist():
+            forest.join(int(prints[i]), int(prints[centre]))
+        label[np.isin(label, held)] = held[0]
+        counts = np.bincount(label, minlength=len(prints))
+        alone = np.flatnonzero((counts[label] == 1) & (np.arange(len(prints)) != centre))
+    for first, n in BLOCKS:
+        block = (prints.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << n) - 1)
+        order = np.argsort(block, kind="stable")
+        bounds = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1], [True]]))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            members = order[a:b]
+            kinds, sizes = np.unique(label[members], return_counts=True)
+            if len(kinds) < 2:
+                continue
+            # All but the most frequent label meet all members.
+            others = members[label[members] != kinds[sizes.argmax()]]
+            for at in range(0, len(others), max(1, (1 << 22) // len(members))):
+                part = others[at : at + max(1, (1 << 22) // len(members))]
+                i, j = np.nonzero(np.bitwise_count((prints[part][:, None] ^ prints[members][None, :]).view(np.uint64)) <= max_bits)
+                apart = label[part[i]] != label[members[j]]
+                for x, y in zip(prints[part[i[apart]]].tolist(), prints[members[j[apart]]].tolist(), strict=True):
+                    forest.join(x, y)
+
+
 def with_fingerprints(docs: DataFrame) -> DataFrame:
     """All columns of the documents but text, with `fingerprint` as a signed long."""
     prepare_python(docs.sparkSession)
@@ -201,43 +243,79 @@ def links(prints: DataFrame) -> DataFrame:
                 keys, owners = bucket_keys(values[at : at + 2000])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], ["key", "fingerprint"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        keys, owners = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            owners = np.concatenate([owners, batch.column(1).to_numpy()])
-            whole = np.searchsorted(keys, keys[-1]) if len(keys) else 0  # the last bucket may go on
-            link_runs(keys[:whole], owners[:whole], forest)
-            keys, owners = keys[whole:], owners[whole:]
-        link_runs(keys, owners, forest)
-        found = np.array(forest.edges(), dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
     keyed = prints.select("fingerprint").mapInArrow(spread, "key long, fingerprint long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
-
-
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(node, root), the root being the least node of the component; nodes without edges are left out."""
+    met = materialize(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: meet(b, HELD_BUCKET), "a long, b long, key long"))
+    edges = met.filter("key IS NULL").select("a", "b")
+    over = met.filter("key IS NOT NULL").select("key", F.col("a").alias("fingerprint"))
+    if over.isEmpty():
+        return edges
+    # Buckets that were too large for one task, dealt by exact blocks. A linked pair shares one of them.
+    blocks = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fingerprint", first).bitwiseAND((1 << n) - 1).alias("v")) for i, (first, n) in enumerate(BLOCKS)))
+    dealt = over.select("fingerprint", "key", F.explode(blocks).alias("block")).select(F.xxhash64("key", "block.i", "block.v").alias("key"), "fingerprint")
+    again = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: meet(b, None), "a long, b long, key long")
+    return edges.unionByName(again.select("a", "b"))
+
+
+def meet(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """(a, b, null): a forest of the links among rows (key, fingerprint) in the order of the keys; and (fingerprint,
+    null, key) of buckets with more than `most` rows."""
+    forest, over = Forest(), None
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def passed(keys: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(owners), pa.nulls(len(owners), pa.int64()), pa.array(keys)], ["a", "b", "key"])
+
+    for batch in batches:
+        keys, owners = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if over is not None:
+            end = int(np.searchsorted(keys, over, side="right"))
+            if end:
+                yield passed(keys[:end], owners[:end])
+            keys, owners = keys[end:], owners[end:]
+            if len(keys):
+                over = None
+        if not len(keys):
+            continue
+        parts.append((keys, owners))
+        waiting += len(keys)
+        whole = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
+        if whole or parts[0][0][0] != keys[-1]:
+            held = [np.concatenate([p[i] for p in parts]) for i in (0, 1)]
+            cut = len(held[0]) - (len(keys) - whole)
+            link_runs(held[0][:cut], held[1][:cut], forest)
+            parts, waiting = [(keys[whole:], owners[whole:])], len(keys) - whole
+        if most is not None and waiting > most:
+            over = int(keys[-1])
+            for p in parts:
+                yield passed(*p)
+            parts, waiting = [], 0
+    if parts:
+        link_runs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), forest)
+    found = np.array(forest.edges(), dtype=np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(len(found), pa.int64())], ["a", "b", "key"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root), the root being the least node of the component; nodes without edges are left out.
+
+    Rounds go on until nothing changes, which takes about the logarithm of the longest path, squared at most.
+    """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count(F.lit(1)).alias("n")))
+        large = join_each(both.filter("b > a"), low, "a", "b").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
         large = materialize(large)
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")))
+        small = join_each(large, low, "a", "b").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
         edges = materialize(small.filter("a <> b").distinct())
         # Rounds end when every node has one edge, to its root, and no root has one.
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -245,15 +323,16 @@ def group(docs: DataFrame) -> DataFrame:
     component_root, the least fingerprint of the component."""
     made = ("component_id", "component_root")
     printed = materialize(with_fingerprints(docs).drop(*made))
-    distinct = materialize(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    distinct = materialize(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(distinct))
     placed = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select(
-        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
+        "fingerprint", "n", "least", F.coalesce("root", "fingerprint").alias("root")
     )
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = placed.join(least, "root").select("fingerprint", "component_id", F.col("root").alias("component_root"))
-    names = [c for c in printed.columns if c != "fingerprint"]
-    return printed.join(by_print, "fingerprint").select(
+    placed = materialize(placed)
+    least = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    by_print = materialize(join_each(placed.withColumnRenamed("n", "copies"), least, "root", "fingerprint").select("fingerprint", F.col("copies").alias("n"), "component_id", F.col("root").alias("component_root")))
+    names = [c for c in printed.columns if c not in ("fingerprint", "_larkbase_deal_by")]
+    return join_each(printed.withColumn("_larkbase_deal_by", F.monotonically_increasing_id()), by_print, "fingerprint", "_larkbase_deal_by").select(
         *(F.col(f"`{n}`") for n in names), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "component_root"
     )
 

@@ -115,18 +115,86 @@ def test_components(spark, documents):
     assert {r.doc_id for r in kept if r.doc_id is not None} <= {v for v in least.values() if v is not None}
 
 
-def test_a_large_bucket_is_cut_and_loses_no_link(monkeypatch):
+def test_all_kinds_of_four_errors_leave_a_common_key():
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    others = values.copy()
+    for i in range(len(values)):
+        for b in rng.choice(64, 1 + i % 4, replace=False):
+            others[i] ^= np.uint64(1) << np.uint64(b)
+    held: list[dict] = []
+    for prints in (values, others):
+        keys, owners = simhash.bucket_keys(prints.view(np.int64))
+        of: dict[int, set] = {}
+        for k, o in zip(keys.tolist(), owners.tolist(), strict=True):
+            of.setdefault(o, set()).add(k)
+        held.append(of)
+        assert len(keys) / len(prints) < 100
+    for a, b in zip(values.view(np.int64).tolist(), others.view(np.int64).tolist(), strict=True):
+        assert held[0][a] & held[1][b]
+
+
+@pytest.mark.parametrize(("near", "far"), [(3, 40), (4, 0), (6, 30)])
+def test_a_large_bucket_loses_no_link(monkeypatch, near, far):
     monkeypatch.setattr(simhash, "LARGE_BUCKET", 20)
     rng = np.random.default_rng(3)
     base = int(rng.integers(0, 2**62))
-    values = np.array([base ^ int(sum(1 << int(b) for b in rng.choice(64, 5, replace=False))) for _ in range(150)], np.uint64)
-    keys = np.zeros(150, np.int64)
+    values = [base ^ int(sum(1 << int(b) for b in rng.choice(64, near, replace=False))) for _ in range(150)]
+    values += [int(rng.integers(0, 2**62)) for _ in range(far)]
+    values = np.array(sorted(set(values)), np.uint64)
     forest = simhash.Forest()
-    simhash.link_runs(keys, values.view(np.int64), forest)
-    linked = [(i, j) for i, j in itertools.combinations(range(150), 2) if 0 < int(values[i] ^ values[j]).bit_count() <= 4]
-    assert linked
+    simhash.link_runs(np.zeros(len(values), np.int64), values.view(np.int64), forest)
     signed = values.view(np.int64).tolist()
-    assert all(forest.root(signed[i]) == forest.root(signed[j]) for i, j in linked)
+    want, got = slow_components([int(v) for v in values]), [forest.root(v) for v in signed]
+    assert len(set(want)) == len(set(got)) == len(set(zip(want, got, strict=True)))
+
+
+def test_a_bucket_too_large_for_a_task_is_dealt_again(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(0, 2**62))
+    values = sorted({base ^ int(sum(1 << int(b) for b in rng.choice(62, int(rng.integers(0, 7)), replace=False))) for _ in range(120)} | {int(rng.integers(0, 2**62)) for _ in range(40)})
+    prints = spark.createDataFrame([(v,) for v in values], "fingerprint long")
+    monkeypatch.setattr(simhash, "HELD_BUCKET", 5)
+    assert simhash.materialize(simhash.links(prints)).count()
+    root = {r.node: r.root for r in simhash.components(simhash.links(prints)).collect()}
+    want, got = slow_components(values), [root.get(v, v) for v in values]
+    assert len(set(want)) == len(set(got)) == len(set(zip(want, got, strict=True)))
+
+
+def test_streamed_buckets(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(0, 12, 300))
+    prints = rng.integers(0, 1 << 10, 300) | (keys << 40)
+    cuts = np.sort(rng.integers(0, 300, 25))
+    batches = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(p)], ["key", "fingerprint"]) for k, p in zip(np.split(keys, cuts), np.split(prints, cuts), strict=True)]
+    one = simhash.Forest()
+    simhash.link_runs(keys, prints, one)
+    for most in (None, 24):
+        other, over = simhash.Forest(), Counter()
+        for batch in simhash.meet(iter(batches), most):
+            for a, b, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if key is None:
+                    other.join(a, b)
+                else:
+                    over[key] += 1
+        assert over == ({} if most is None else {k: n for k, n in Counter(keys.tolist()).items() if over[k]})
+        same = [p for k, p in zip(keys.tolist(), prints.tolist(), strict=True) if k not in over]
+        assert [one.root(p) for p in same] == [other.root(p) for p in same]
+
+
+def test_nodes_with_very_many_edges(spark, monkeypatch):
+    from larkbase.llm import common
+
+    monkeypatch.setattr(common, "SENT_KEYS", 0)
+    monkeypatch.setattr(common, "ROWS_OF_TASK", 5)
+    edges = [(0, i) for i in range(1, 60)] + [(59, 100 + i) for i in range(40)] + [(1000, 1001)]
+    want = {b: 0 for _, b in edges} | {1001: 1000}
+    assert dict(map(tuple, simhash.components(spark.createDataFrame(edges, "a long, b long")).collect())) == want
+    docs = spark.createDataFrame([(i, "the same text of all" if i % 3 else near(i)) for i in range(60)], "doc_id long, text string")
+    rows = simhash.group(docs).collect()
+    assert len(rows) == 60 and {r.component_id for r in rows if r.doc_id % 3} == {1}
 
 
 def test_long_chains_of_links(spark):
