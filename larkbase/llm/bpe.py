@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
-from larkbase.llm.common import prepare_python
+from larkbase.llm.common import byte_characters, prepare_python, shared_file
 
 #: The code points with the Unicode property White_Space, as a character class.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
@@ -46,27 +46,18 @@ def split_words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORDS), F.lit(0))
 
 
-def byte_of_char() -> dict[str, int]:
-    """The byte that each character of a byte-level piece stands for: printable bytes stand for
-    themselves, and the others, in order, are the characters from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Codec:
     """A tokenizer's file with a table of distinct words and a table of pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, raw: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_buffer(raw)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        chars = byte_of_char()
+        model = json.loads(raw)
+        chars = {c: b for b, c in enumerate(byte_characters())}
         self.pieces: dict[int, bytes] = {i: bytes(chars[c] for c in piece) for piece, i in model["model"]["vocab"].items()}
         for special in model["added_tokens"]:
             self.pieces[special["id"]] = special["content"].encode()
@@ -138,11 +129,11 @@ class Block:
 _codecs: dict[str, Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    """One codec for each worker process."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+def codec(digest: str, raw: bytes) -> Codec:
+    """One codec for each worker process and tokenizer."""
+    if digest not in _codecs:
+        _codecs[digest] = Codec(raw)
+    return _codecs[digest]
 
 
 def _others(df: DataFrame, *made: str) -> StructType:
@@ -153,13 +144,14 @@ def encode(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
     """The documents, without their text if it isn't to be kept, with `ids` (array of int), `n_tokens` and `round_trip`, whether decoding the ids
     gives the text again."""
     prepare_python(docs.sparkSession)
+    local = shared_file(docs.sparkSession, path)
     made = ["ids", "n_tokens", "round_trip"]
     kept = _others(docs, *made, *([] if keep_text else ["text"]))
     names = [f.name for f in kept.fields]
     out = StructType(list(kept.fields)).add("ids", ArrayType(IntegerType())).add("n_tokens", LongType()).add("round_trip", BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(*local())
         # Ids and texts are held at once, so a block is smaller here.
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             words = batch.column("_larkbase_words")
@@ -179,12 +171,13 @@ def encode(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows with `decoded`, the text of their `ids` (null: empty)."""
     prepare_python(encoded.sparkSession)
+    local = shared_file(encoded.sparkSession, path)
     kept = _others(encoded, "decoded")
     names = [f.name for f in kept.fields]
     out = StructType(list(kept.fields)).add("decoded", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(*local())
         for batch in batches:
             texts = [own.decode(ids.as_py() or []) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "decoded"])
@@ -196,12 +189,13 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode and hash in one pass, so that
     neither ids nor texts leave the worker."""
     prepare_python(docs.sparkSession)
+    local = shared_file(docs.sparkSession, path)
     names = [f.name for f in docs.schema.fields if f.name == "doc_id"]
     out = StructType([f for f in docs.schema.fields if f.name == "doc_id"])
     out = out.add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(*local())
         for batch in batches:
             block = Block(batch.column("_larkbase_words"), own)
             ids_sha, text_sha = [], []

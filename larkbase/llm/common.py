@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -98,6 +99,22 @@ def prepare_python(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+def shared_file(spark: SparkSession, path: str) -> Callable[[], tuple[str, bytes]]:
+    """The file's digest and bytes on any executor, whose disks need not have it. The driver reads it, or Spark
+    does where the path names a file system."""
+    raw = bytes(spark.read.format("binaryFile").load(path).first()["content"]) if "://" in path else Path(path).read_bytes()
+    digest, shared = hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw)
+    return lambda: (digest, shared.value)
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level pieces: printable bytes stand for themselves, and the
+    characters from 256 on for the others, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
 def id_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus

@@ -1,11 +1,21 @@
 """Exact token counts at every prefix of a text, by dynamic programming.
 
-The tokenizer drops white space and closes each word with an end mark, so a word's tokens depend on
-that word alone. The count of a prefix is therefore the count at the start of its last word plus the
-count of the part of that word that lies inside. Both terms are stored: the running counts by word
-for each text, and for each distinct word, in one table for each task, the counts of all its
-prefixes, the whole word being the last. A prefix ending in white space costs what the words before
-it cost. From these, any truncation or budget question is a lookup; nothing is encoded again.
+The tokenizer drops white space, splits words into runs of letters, single digits and runs of other
+characters, and closes each run with an end mark; a run's tokens depend on that run alone. Within a
+run, byte-pair encoding has the property that a sequence of tokens is the encoding of its text just if
+every neighbouring pair of them is the encoding of its own text. So the encoding of a prefix is that of
+a shorter prefix with one token added: `last[i]`, the token that ends the encoding of the first i bytes,
+is the one token t that ends there and fits behind `last[i - len(t)]`, and the count is one more than
+there. One pass over a run gives the count at all its prefixes, open and closed by the end mark.
+
+The count of a text's prefix is the count up to the start of its last word (running sums over words),
+plus that of the word's earlier runs, plus that of the last run's prefix. All of these are stored, the
+running sums for each text and the prefixes for each distinct run in one table for each task, so any
+truncation or budget question is a lookup; nothing is encoded again.
+
+Where a run can't be told without the tokenizer (combining marks, apostrophes, special strings,
+characters that normal forms or newer versions of Unicode treat otherwise), the stretch of the word
+between two safe cuts is encoded by the tokenizer itself at each prefix, once, and stored alike.
 
 Defined cases: a null text is empty and has 0 tokens; words are split at ASCII white space, other
 white space stays inside a word and is left to the tokenizer; special strings inside a text are
@@ -15,12 +25,15 @@ made here, which are replaced. Nothing is shuffled.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,113 +42,210 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from larkbase.llm.common import prepare_python
+from larkbase.llm.common import byte_characters, prepare_python, shared_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A task's table is emptied beyond this many prefixes; that costs time only.
-TABLE_PREFIXES = 1_000_000
-#: Of words longer than this only the whole is stored; their prefixes are counted when asked for.
-LONG_WORD = 256
-#: The tokenizer closes each run of letters, digit or run of other characters with this mark.
+TABLE_PREFIXES = 3_000_000
+#: The tokenizer closes each run with this mark.
 END_MARK = "</w>"
-#: Words whose runs are told apart here, and the runs: Latin-1 letters are their own normal form.
+#: The quick way for words of Latin-1 letters, digits and ASCII signs: these letters are their own normal form.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"[{LETTERS}0-9!-&(-;=-~]*")
 RUNS = re.compile(rf"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
-#: Strings that are joined for one call of the tokenizer.
-JOINED = 2048
+SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Prefixes that are given to the tokenizer at once.
+TOGETHER = 2048
+
+
+class Merges:
+    """Byte-pair encoding with an end mark, and the recurrence over prefixes. Symbols are strings of characters
+    that stand for bytes; the last one of a closed run ends with the mark."""
+
+    def __init__(self, vocabulary: list[str], merges: list[tuple[str, str]]):
+        self.rank = {pair: i for i, pair in enumerate(merges)}
+        self.fits: dict[tuple[str | None, str], bool] = {}
+        # Tokens by their characters from the last one back: node["open"] and node["closed"] are tokens.
+        self.root: dict = {}
+        for token in vocabulary:
+            closed = token.endswith(END_MARK) and token != END_MARK
+            node = self.root
+            for c in reversed(token[: -len(END_MARK)] if closed else token):
+                node = node.setdefault(c, {})
+            node["closed" if closed else "open"] = token
+
+    def symbols(self, token: str) -> list[str]:
+        if token.endswith(END_MARK) and token != END_MARK:
+            bare = token[: -len(END_MARK)]
+            return [*bare[:-1], bare[-1] + END_MARK]
+        return list(token)
+
+    def encode(self, symbols: list[str]) -> list[str]:
+        """By definition: the pair of lowest rank is merged, until none has one."""
+        while len(symbols) > 1:
+            ranked = [self.rank.get(p, len(self.rank)) for p in zip(symbols, symbols[1:], strict=False)]
+            least = min(ranked)
+            if least == len(self.rank):
+                break
+            out, i = [], 0
+            while i < len(symbols):
+                if i < len(ranked) and ranked[i] == least:
+                    out.append(symbols[i] + symbols[i + 1])
+                    i += 2
+                else:
+                    out.append(symbols[i])
+                    i += 1
+            symbols = out
+        return symbols
+
+    def fit(self, before: str | None, token: str) -> bool:
+        """Whether the token can stand behind another, or at the start of a run."""
+        known = self.fits.get((before, token))
+        if known is None:
+            pair = [token] if before is None else [before, token]
+            known = self.fits[before, token] = self.encode([s for t in pair for s in self.symbols(t)]) == pair
+        return known
+
+    def counts(self, run: str) -> list[int]:
+        """Tokens of the closed run of each prefix, from the empty one."""
+        last: list[str | None] = [None] * (len(run) + 1)
+        opened, closed = [0] * (len(run) + 1), [0] * (len(run) + 1)
+        fits, fit = self.fits, self.fit
+        for i in range(1, len(run) + 1):
+            node, j = self.root, i
+            wanted = 2
+            while j and wanted:
+                j -= 1
+                node = node.get(run[j])
+                if node is None:
+                    break
+                before = last[j]
+                if (t := node.get("open")) is not None and last[i] is None:
+                    ok = fits.get((before, t))
+                    if fit(before, t) if ok is None else ok:
+                        last[i], opened[i] = t, opened[j] + 1
+                        wanted -= 1
+                if (t := node.get("closed")) is not None and not closed[i]:
+                    ok = fits.get((before, t))
+                    if fit(before, t) if ok is None else ok:
+                        closed[i] = opened[j] + 1
+                        wanted -= 1
+            if wanted:
+                raise LookupError(run)
+        return closed
+
+
+@lru_cache(maxsize=1 << 16)
+def kind(c: str) -> str:
+    """L, N or O (letter, digit, other) of a character that runs can be told by; empty if the tokenizer has to."""
+    low = c.lower()
+    if c in "'<" or len(low) != 1 or 0x1160 <= ord(c) <= 0x11FF:
+        return ""
+    sorts = {(u.category(x)[0]) for u in (unicodedata, unicodedata.ucd_3_2_0) for x in (c, low)}
+    if len(sorts) != 1 or (sort := sorts.pop()) in "MZC" or unicodedata.normalize("NFC", c) != c or unicodedata.normalize("NFC", low) != low:
+        return ""
+    return sort if sort in "LN" else "O"
+
+
+def parts(word: str, specials: tuple[str, ...] = ()) -> list[tuple[str, bool]]:
+    """A word cut into stretches that the tokenizer handles each by itself: (lower-case run, True), and (stretch,
+    False) where the runs can't be told."""
+    if PLAIN.fullmatch(word):
+        return [(r, True) for r in RUNS.findall(word.lower())]
+    kinds = [kind(c) for c in word]
+    inside = [False] * (len(word) + 1)
+    for special in specials:
+        at = word.find(special)
+        while at >= 0:
+            inside[at + 1 : at + len(special)] = [True] * (len(special) - 1)
+            at = word.find(special, at + 1)
+    # A cut is safe between two characters that are told, of other kinds or digits, and not inside a special string.
+    cuts = [p for p in range(1, len(word)) if kinds[p - 1] and kinds[p] and (kinds[p - 1] != kinds[p] or kinds[p] == "N") and not inside[p]]
+    out = []
+    for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True):
+        told = all(kinds[a:b]) and not any(inside[a + 1 : b])
+        out.append((word[a:b].lower() if told else word[a:b], told))
+    return out
 
 
 class PrefixTable:
-    """Token counts of every prefix of each distinct word.
-
-    The tokenizer splits a word further, into runs of letters, digits, and runs of other characters,
-    before it merges. In words of Latin letters, digits and ASCII signs (without an apostrophe or the
-    sign that begins special strings) these runs can be told without it, so their prefixes are stored
-    once for all words that share them, in lower case. Other words are stored as they are.
-    """
+    """Token counts of every prefix of each distinct run."""
 
-    def __init__(self, path: str):
+    def __init__(self, raw: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_buffer(raw)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(END_MARK)]] = True
-        #: Tokens of runs, of other words, and of their prefixes.
-        self.count: dict[str, int] = {}
+        found = json.loads(raw)
+        self.specials = tuple(t["content"] for t in found["added_tokens"])
+        self.merges = Merges(list(found["model"]["vocab"]), [tuple(m) for m in found["model"]["merges"]])
+        self.characters = byte_characters()
+        #: Counts at each prefix of runs and of stretches, in characters.
+        self.prefixes: dict[tuple[str, bool], array] = {}
+        self.held = 0
         #: Tokens of whole words, by their UTF-8 bytes.
         self.whole: dict[bytes, int] = {}
 
-    def count_runs(self, runs: list[str]) -> None:
-        """Count runs and prefixes of runs: many are encoded as one text, and told apart by the marks that end them."""
-        parts = [runs[at : at + JOINED] for at in range(0, len(runs), JOINED)]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            last = np.flatnonzero(self.ends[np.array(found.ids, dtype=np.int64)])
-            if len(last) != len(part):
-                raise ValueError("the tokenizer splits words in another way than this table")
-            self.count.update(zip(part, np.diff(last, prepend=-1).tolist(), strict=True))
-
-    def count_words(self, words: list[str]) -> None:
-        for at in range(0, len(words), JOINED):
-            part = words[at : at + JOINED]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.count.update((t, len(e.ids)) for t, e in zip(part, found, strict=True))
-
-    def _new_prefixes(self, text: str, fresh: dict[str, None]) -> None:
-        fresh[text] = None
-        if len(text) <= LONG_WORD:
-            for k in range(len(text) - 1, 0, -1):
-                part = text[:k]
-                if part in self.count or part in fresh:
-                    break  # and so are all shorter ones
-                fresh[part] = None
-
-    def learn(self, words: list[str]) -> None:
-        """Store all prefixes of the words."""
-        runs: dict[str, None] = {}
-        others: dict[str, None] = {}
-        count = self.count
-        for word in words:
-            if PLAIN.fullmatch(word):
-                for run in RUNS.findall(word.lower()):
-                    if run not in count and run not in runs:
-                        self._new_prefixes(run, runs)
-            elif word not in count and word not in others:
-                self._new_prefixes(word, others)
-        self.count_runs(list(runs))
-        self.count_words(list(others))
-
-    def learn_bytes(self, texts: list[list[bytes]]) -> None:
-        """Store the words of many texts, with all prefixes."""
-        kinds: set[bytes] = set()
-        for words in texts:
-            kinds.update(words)
-        if len(self.count) > TABLE_PREFIXES:
-            self.count.clear()
+    def of(self, part: tuple[str, bool]) -> array:
+        """Counts at each prefix of a part, from the empty one."""
+        found = self.prefixes.get(part)
+        if found is None:
+            text, told = part
+            counts = self._of_run(text) if told else None
+            if counts is None:
+                counts = self._by_tokenizer(text)
+            found = self.prefixes[part] = array("I", counts)
+            self.held += len(counts)
+        return found
+
+    def _of_run(self, run: str) -> list[int] | None:
+        raw = run.encode()
+        try:
+            counts = self.merges.counts("".join(map(self.characters.__getitem__, raw)))
+        except LookupError:  # a byte that the vocabulary lacks
+            return None
+        if len(raw) == len(run):
+            return counts
+        ends = [i + 1 for i in range(len(raw)) if i + 1 == len(raw) or raw[i + 1] & 0xC0 != 0x80]
+        return [0, *(counts[e] for e in ends)]
+
+    def _by_tokenizer(self, text: str) -> list[int]:
+        out = [0]
+        for at in range(1, len(text) + 1, TOGETHER):
+            some = [text[:k] for k in range(at, min(at + TOGETHER, len(text) + 1))]
+            out += [len(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return out
+
+    def learn_bytes(self, kinds: set[bytes]) -> None:
+        """Store distinct words with all prefixes."""
+        if self.held > TABLE_PREFIXES:
+            self.prefixes.clear()
             self.whole.clear()
-        fresh = {w: w.decode("utf-8", "replace") for w in kinds if w not in self.whole}
-        self.learn(list(fresh.values()))
-        self.whole.update((raw, self.tokens(word)) for raw, word in fresh.items())
-
-    def tokens(self, part: str) -> int:
-        """Tokens of a word or of the beginning of one."""
-        if PLAIN.fullmatch(part):
-            try:
-                return sum(map(self.count.__getitem__, RUNS.findall(part.lower())))
-            except KeyError:
-                self.learn([part])
-                return self.tokens(part)
-        if part not in self.count:
-            self.count_words([part])
-        return self.count[part]
+            self.held = 0
+        for raw in kinds:
+            if raw not in self.whole:
+                self.whole[raw] = sum(self.of(p)[-1] for p in parts(raw.decode("utf-8", "replace"), self.specials))
+
+    def at_prefixes(self, word: str) -> list[int]:
+        """Counts at each prefix of a word, from the empty one."""
+        out = [0]
+        for part in parts(word, self.specials):
+            before = out[-1]
+            out += [before + n for n in self.of(part)[1:]]
+        return out
 
     def within(self, word: str, chars: int) -> int:
         """Tokens of the first `chars` characters of a word."""
-        return self.tokens(word[:chars]) if chars else 0
+        count = 0
+        for part in parts(word, self.specials):
+            if chars <= 0:
+                break
+            counts = self.of(part)
+            count += counts[min(chars, len(counts) - 1)]
+            chars -= len(counts) - 1
+        return count
 
 
 @dataclass
@@ -145,17 +255,15 @@ class PrefixCounts:
     table: PrefixTable
     text: str
     starts: list[int]
-    words: list[str]
     through: list[int]
 
     @classmethod
     def of(cls, text: str, table: PrefixTable) -> PrefixCounts:
-        found = [(m.start(), m.group()) for m in WORD.finditer(text)]
-        words = [w for _, w in found]
-        raw = [w.encode("utf-8", "replace") for w in words]
-        table.learn_bytes([raw])
-        through = list(accumulate(map(table.whole.__getitem__, raw)))
-        return cls(table, text, [s for s, _ in found], words, through)
+        found = running_counts(pa.array([text.encode("utf-8", "replace")]), table)
+        return cls(table, text, found.starts.tolist(), found.through.tolist())
+
+    def word(self, k: int) -> str:
+        return WORD.match(self.text, self.starts[k]).group()
 
     def at(self, chars: int) -> int:
         """Tokens of the prefix of so many characters."""
@@ -163,73 +271,128 @@ class PrefixCounts:
         if k < 0:
             return 0
         before = self.through[k - 1] if k else 0
-        return before + self.table.within(self.words[k], chars - self.starts[k])
+        return before + self.table.within(self.word(k), chars - self.starts[k])
 
     def all(self) -> list[int]:
         """The count at each prefix, from the empty one to the whole text."""
-        out, k, last = [0], 0, len(self.words)
-        for chars in range(1, len(self.text) + 1):
-            while k + 1 < last and self.starts[k + 1] < chars:
-                k += 1
-            if not last or self.starts[k] >= chars:
-                out.append(0)
-            else:
-                out.append((self.through[k - 1] if k else 0) + self.table.within(self.words[k], chars - self.starts[k]))
+        out = [0] * (len(self.text) + 1)
+        for k, start in enumerate(self.starts):
+            before = self.through[k - 1] if k else 0
+            own = self.table.at_prefixes(self.word(k))
+            end = self.starts[k + 1] if k + 1 < len(self.starts) else len(self.text)
+            out[start + 1 : start + len(own)] = [before + n for n in own[1:]]
+            out[start + len(own) : end + 1] = [before + own[-1]] * (end + 1 - start - len(own))
         return out
 
     def longest(self, budget: int) -> int:
-        """Characters of the longest prefix within the budget. Counts may fall as a word grows, so
-        the last word that begins within the budget is looked through from its end."""
-        if not self.words or self.through[-1] <= budget:
+        """Characters of the longest prefix within the budget. Counts may fall as a word grows, so every
+        word that begins within the budget is looked through from its end."""
+        if not self.through or self.through[-1] <= budget:
             return len(self.text)
         first = bisect_right(self.through, budget)
         best = self.starts[first]
-        for k in range(first, len(self.words)):
+        for k in range(first, len(self.starts)):
             before = self.through[k - 1] if k else 0
             if before > budget:
                 break
-            for chars in range(len(self.words[k]) - 1, 0, -1):
-                if before + self.table.within(self.words[k], chars) <= budget:
-                    best = max(best, self.starts[k] + chars)
-                    break
+            own = self.table.at_prefixes(self.word(k))
+            best = max(best, self.starts[k] + max(c for c, n in enumerate(own) if before + n <= budget))
         return best
 
 
+@dataclass
+class Running:
+    """Words of many texts: the bounds of each text's words, each word's first character and the tokens up to its end."""
+
+    bounds: np.ndarray
+    starts: np.ndarray
+    through: np.ndarray
+
+    def totals(self) -> np.ndarray:
+        ends = self.bounds[1:]
+        return np.where(ends > self.bounds[:-1], self.through[np.maximum(ends, 1) - 1] if len(self.through) else 0, 0)
+
+
+def running_counts(texts: pa.BinaryArray, table: PrefixTable) -> Running:
+    """Running token counts over the words of each text."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    raw = memoryview(data)[offsets[0] : offsets[-1]].tobytes() if data is not None else b""
+    offsets = offsets - offsets[0]
+    bytes_ = np.frombuffer(raw, np.uint8)
+    space = np.concatenate([[True], SPACES[bytes_], [True]])
+    # Words end where texts do: a place between two texts counts as space on both sides.
+    begins = ~space[1:-1] & space[:-2]
+    ends = ~space[1:-1] & space[2:]
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < len(raw))]
+    begins[inner] = ~space[1:-1][inner]
+    ends[inner - 1] = ~space[1:-1][inner - 1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    words = [raw[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    table.learn_bytes(set(words))
+    counts = np.fromiter(map(table.whole.__getitem__, words), np.int64, len(words))
+    bounds = np.searchsorted(first, offsets)
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    # Characters are the bytes that don't continue one.
+    chars = np.concatenate([[0], np.cumsum((bytes_ & 0xC0) != 0x80)])
+    return Running(bounds, chars[first] - chars[offsets[owner]], sums[1:] - sums[bounds[:-1]][owner])
+
+
 _tables: dict[str, PrefixTable] = {}
 
 
-def prefix_table(path: str) -> PrefixTable:
-    if path not in _tables:
-        _tables[path] = PrefixTable(path)
-    return _tables[path]
+def prefix_table(digest: str, raw: bytes) -> PrefixTable:
+    """One table for each worker process and tokenizer."""
+    if digest not in _tables:
+        _tables[digest] = PrefixTable(raw)
+    return _tables[digest]
 
 
-def count_tokens(docs: DataFrame, path: str, budget: int = 2048, store: bool = False) -> DataFrame:
-    """The documents with n_bytes, n_tokens and `fits_chars`, the length in characters of the longest
-    prefix within the budget; with `store`, also `word_starts` and `word_tokens`, the running counts."""
+def count_tokens(docs: DataFrame, path: str, budget: int = 2048) -> DataFrame:
+    """The documents with n_bytes, n_tokens, `fits_chars`, the length in characters of the longest prefix within
+    the budget, and the running counts of every text: `word_starts` (characters) and `word_tokens`."""
     prepare_python(docs.sparkSession)
+    local = shared_file(docs.sparkSession, path)
     made = StructType().add("n_bytes", LongType()).add("n_tokens", LongType()).add("fits_chars", LongType())
-    if store:
-        made = made.add("word_starts", ArrayType(IntegerType())).add("word_tokens", ArrayType(IntegerType()))
+    made = made.add("word_starts", ArrayType(IntegerType())).add("word_tokens", ArrayType(IntegerType()))
     kept = [f for f in docs.schema.fields if f.name not in made.names and f.name != "_larkbase_text"]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = prefix_table(path)
-        for batch in batches:
+        own = prefix_table(*local())
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             column = batch.column("_larkbase_text")
-            texts = column.cast(pa.binary()).to_pylist()
-            words = [t.split() for t in texts]
-            own.learn_bytes(words)
-            totals = [sum(map(own.whole.__getitem__, w)) for w in words]
-            chars = pc.utf8_length(column).to_pylist()
-            stored = [PrefixCounts.of(t.decode("utf-8", "replace"), own) if store or n > budget else None for t, n in zip(texts, totals, strict=True)]
-            fits = [c if n <= budget else p.longest(budget) for c, n, p in zip(chars, totals, stored, strict=True)]
-            columns = [pa.array([len(t) for t in texts], pa.int64()), pa.array(totals, pa.int64()), pa.array(fits, pa.int64())]
-            if store:
-                columns += [pa.array([p.starts for p in stored], pa.list_(pa.int32())), pa.array([p.through for p in stored], pa.list_(pa.int32()))]
+            found = running_counts(column.cast(pa.binary()), own)
+            totals = found.totals()
+            fits = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i in np.flatnonzero(totals > budget).tolist():
+                a, b = found.bounds[i], found.bounds[i + 1]
+                fits[i] = PrefixCounts(own, column[i].as_py(), found.starts[a:b].tolist(), found.through[a:b].tolist()).longest(budget)
+            ends = pa.array(found.bounds, pa.int32())
+            columns = [pc.binary_length(column).cast(pa.int64()), pa.array(totals, pa.int64()), pa.array(fits)]
+            columns += [pa.ListArray.from_arrays(ends, pa.array(values, pa.int32())) for values in (found.starts, found.through)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], [*names, *made.names])
 
     return docs.select(*(F.col(f"`{n}`") for n in names), F.coalesce("text", F.lit("")).alias("_larkbase_text")).mapInArrow(
         run, StructType([*kept, *made.fields])
     )
+
+
+def prefix_tokens(counted: DataFrame, path: str, chars: str) -> DataFrame:
+    """What `count_tokens` gave, with `prefix_tokens`, the tokens of the prefix of as many characters as column
+    `chars` says (null: 0; beyond the end: the whole text): a lookup in the stored counts."""
+    prepare_python(counted.sparkSession)
+    local = shared_file(counted.sparkSession, path)
+    kept = [f for f in counted.schema.fields if f.name != "prefix_tokens"]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = prefix_table(*local())
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("text", "word_starts", "word_tokens", chars)), strict=True)
+            found = [PrefixCounts(own, t or "", s, n).at(min(k or 0, len(t or ""))) for t, s, n, k in rows]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.int64())], [*names, "prefix_tokens"])
+
+    return counted.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, StructType(kept).add("prefix_tokens", LongType()))

@@ -1,6 +1,7 @@
 """Scores, token ids, token counts and quality rules against brute force."""
 
 import hashlib
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -21,7 +22,7 @@ ODD = st.text(alphabet=st.sampled_from(list(" \n\t 　\x1c\x85abcE'sé12.,!<|>
 
 @pytest.fixture(scope="module")
 def codec():
-    return bpe.Codec(BYTES)
+    return bpe.Codec(Path(BYTES).read_bytes())
 
 
 @settings(max_examples=300, deadline=None)
@@ -56,28 +57,84 @@ def test_encoding_decoding_and_digests(documents):
 
 @pytest.fixture(scope="module")
 def prefixes():
-    table = tokencount.PrefixTable(WORDS)
+    table = tokencount.PrefixTable(Path(WORDS).read_bytes())
     table.reference = Tokenizer.from_file(WORDS)
     return table
 
 
-@settings(max_examples=150, deadline=None)
-@given(ODD | st.just("it's <|endoftext|> don't ab́c"), st.integers(0, 20))
+def at_all_prefixes(table, text):
+    return [len(table.reference.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+
+
+MIXED = st.text(alphabet=st.sampled_from("abcdeéßñØαβΣжё漢字かกहि한글'’<|>#$-_.0123½²٣Ⅷİſﬁ😀👍́‍ᅡᆨ "), max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(ODD | MIXED | st.just("it's <|endoftext|> don't ab́c x<|startoftext|>7y<|endoftext|") | st.characters(exclude_categories=["Cs"]), st.integers(0, 20))
 def test_counts_at_every_prefix(prefixes, text, budget):
-    want = [len(prefixes.reference.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+    want = at_all_prefixes(prefixes, text)
     counts = tokencount.PrefixCounts.of(text, prefixes)
     assert counts.all() == want
     assert [counts.at(k) for k in range(len(text) + 1)] == want
     assert counts.longest(budget) == max(k for k, n in enumerate(want) if n <= budget)
 
 
-def test_counts_of_documents(documents):
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aeinorstlhd"), min_size=1, max_size=30) | st.text(alphabet=st.sampled_from("#$%!?.*😂"), min_size=1, max_size=20))
+def test_the_recurrence_gives_every_prefix_of_a_run(prefixes, run):
+    assert prefixes._of_run(run) == at_all_prefixes(prefixes, run)
+
+
+def test_prefixes_of_long_words_are_stored(prefixes, monkeypatch):
+    words = ["internationalization" * 30, "ab1" * 400, "漢字" * 300, "x" * 3000, "é" * 200 + "tail" * 100]
+    counted = [tokencount.PrefixCounts.of(w, prefixes) for w in words]
+
+    def never(*args, **kwargs):
+        raise AssertionError("encoded again")
+
+    own = prefixes.tokenizer
+    prefixes.tokenizer = None
+    try:
+        for word, counts in zip(words, counted, strict=True):
+            for k in (*range(0, len(word), 97), len(word)):
+                assert counts.at(k) == len(prefixes.reference.encode(word[:k], add_special_tokens=False).ids)
+    finally:
+        prefixes.tokenizer = own
+
+
+def test_a_symbol_that_the_vocabulary_lacks_goes_to_the_tokenizer(prefixes, monkeypatch):
+    part = tokencount.Merges(["a", "a</w>"], [])
+    table = tokencount.PrefixTable(Path(WORDS).read_bytes())
+    table.merges = part
+    assert list(table.of(("abba", True))) == at_all_prefixes(prefixes, "abba")
+
+
+def test_counts_of_documents(spark, documents):
     reference = Tokenizer.from_file(WORDS)
-    for r in tokencount.count_tokens(documents, WORDS, 50, store=True).collect():
-        n = len(reference.encode(r.text or "", add_special_tokens=False).ids)
-        assert (r.n_tokens, r.n_bytes) == (n, len((r.text or "").encode()))
-        assert (r.fits_chars == len(r.text or "")) == (n <= 50)
-        assert not r.word_tokens or r.word_tokens[-1] == n
+    size = lambda t: len(reference.encode(t, add_special_tokens=False).ids)
+    counted = tokencount.count_tokens(documents, WORDS, 50)
+    for r in counted.collect():
+        text = r.text or ""
+        assert (r.n_tokens, r.n_bytes) == (size(text), len(text.encode()))
+        assert (r.fits_chars == len(text)) == (r.n_tokens <= 50)
+        found = [(m.start(), size(text[: m.end()])) for m in tokencount.WORD.finditer(text)]
+        assert list(zip(r.word_starts, r.word_tokens, strict=True)) == found
+    asked = counted.withColumn("cut", F.when(F.col("n_bytes") > 0, F.col("n_bytes") % 100))
+    for r in tokencount.prefix_tokens(asked, WORDS, "cut").collect():
+        assert r.prefix_tokens == size((r.text or "")[: r.cut or 0])
+
+
+def test_running_counts_of_slices_and_texts_without_space_between(prefixes):
+    import pyarrow as pa
+
+    texts = ["ab", "cd ef", "", " ", "gh", "é漢", "x	y "]
+    whole = pa.array([t.encode() for t in texts], pa.binary())
+    for a in range(len(texts)):
+        found = tokencount.running_counts(whole.slice(a, 4), prefixes)
+        want = [len(prefixes.reference.encode(t, add_special_tokens=False).ids) for t in texts[a : a + 4]]
+        assert found.totals().tolist() == want
+        starts = [[m.start() for m in tokencount.WORD.finditer(t)] for t in texts[a : a + 4]]
+        assert [found.starts[i:j].tolist() for i, j in zip(found.bounds, found.bounds[1:], strict=False)] == starts
 
 
 # ---------------------------------------------------------------- quality
