@@ -6,14 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkbase.llm import mixing, secretscan, sharding, simhash
+from larkbase.llm import secretscan, sharding, simhash
 from tests.llm.conftest import prose
 
 # ---------------------------------------------------------------- sharding
@@ -202,68 +201,6 @@ def test_long_chains_of_links(spark):
     assert dict(map(tuple, simhash.components(edges).collect())) == {**{i: 0 for i in range(1, 61)}, 101: 100}
 
 
-# ---------------------------------------------------------------- mixing
-
-
-def test_raking_meets_all_targets():
-    rng = np.random.default_rng(1)
-    cells = pd.DataFrame([(s, lang, t, int(rng.integers(1, 1000))) for s in "abc" for lang in ("x", None) for t in "pq"], columns=["source", "lang", "topic", "tokens"])
-    config = mixing.MixConfig(targets={"source": {"a": 0.2, "b": 0.3, "c": 0.5}, "lang": {"x": 0.6, None: 0.4}, "topic": {"p": 0.5, "q": 0.5}})
-    weighted = cells["tokens"] * mixing.rake(cells, config)
-    for d, shares in config.targets.items():
-        for v, share in shares.items():
-            mask = cells[d].isna() if v is None else cells[d] == v
-            assert weighted[mask].sum() / cells["tokens"].sum() == pytest.approx(share, abs=1e-6)
-
-
-@given(st.lists(st.tuples(st.integers(0, 1000), st.floats(0, 50)), min_size=1, max_size=30), st.floats(0.01, 1))
-def test_inclusion_has_the_wanted_expectation(cells, keep):
-    tokens, weights = (np.array(x, dtype=float) for x in zip(*cells, strict=True))
-    p = mixing.inclusion(tokens, weights, keep)
-    assert ((p >= 0) & (p <= 1 + 1e-9)).all()
-    most = tokens[weights > 0].sum()
-    assert (p * tokens).sum() == pytest.approx(min(keep * tokens.sum(), most), rel=1e-6, abs=1e-6) or not tokens.sum()
-
-
-def test_raking_in_spark_agrees(spark, documents):
-    config = mixing.MixConfig(keep=0.5)
-    rows = mixing.measured(documents)
-    here = {tuple(r[:3]): r.probability for r in mixing.cell_probabilities(rows, config).select("source", "lang", "topic", "probability").collect()}
-    there = {tuple(r[:3]): r.probability for r in mixing.cell_probabilities(rows, mixing.MixConfig(keep=0.5, driver_cells=0, rounds=200)).select("source", "lang", "topic", "probability").collect()}
-    assert here.keys() == there.keys()
-    assert all(there[k] == pytest.approx(v, abs=2e-2) for k, v in here.items())
-
-
-def test_raking_in_spark_goes_on_as_far_as_in_the_driver(spark):
-    """Sparse cells, for which raking needs more than 12 rounds."""
-    n = 12
-    cells = pd.DataFrame([(f"s{i}", f"l{j}", "t", 1 + 37 * i * j % 91) for i in range(n) for j in (i, (i + 1) % n)], columns=["source", "lang", "topic", "tokens"])
-    config = mixing.MixConfig(targets={"source": {f"s{i}": i % 3 + 1.0 for i in range(n)}}, keep=0.5, rounds=25)
-    want = mixing.rake(cells, config)
-    assert np.abs(want - mixing.rake(cells, mixing.MixConfig(targets=config.targets, rounds=12))).max() > 1e-3
-    chances = mixing.inclusion(cells["tokens"].to_numpy(dtype=float), want, config.keep)
-    table = mixing.materialize(spark.createDataFrame(list(cells.itertuples(index=False, name=None)), "source string, lang string, topic string, tokens long"))
-    found = {(r.source, r.lang): (r.weight, r.probability) for r in mixing.rake_in_spark(table, config).collect()}
-    for c, w, p in zip(cells.itertuples(), want, chances, strict=True):
-        assert found[c.source, c.lang] == (pytest.approx(w, rel=1e-8), pytest.approx(p, rel=1e-8))
-    early = mixing.MixConfig(targets=config.targets, keep=0.5, tolerance=0.05)
-    want = mixing.rake(cells, early)
-    found = {(r.source, r.lang): r.weight for r in mixing.rake_in_spark(table, early).collect()}
-    assert all(found[c.source, c.lang] == pytest.approx(w, rel=1e-8) for c, w in zip(cells.itertuples(), want, strict=True))
-
-
-def test_sampling(documents, empty):
-    rows = mixing.assign(documents)
-    assert rows.count() == documents.count()
-    assert rows.filter(F.col("probability").isNull()).count() == 0
-    again = mixing.assign(documents.repartition(3))
-    assert Counter(map(tuple, rows.collect())) == Counter(map(tuple, again.collect()))
-    sampled = mixing.sample(documents)
-    assert sampled.columns == documents.columns
-    assert Counter(r.doc_id for r in sampled.collect()) == Counter(r.doc_id for r in rows.filter("sampled").collect())
-    assert mixing.assign(empty).count() == mixing.sample(empty).count() == 0
-
-
 # ---------------------------------------------------------------- secrets
 
 
