@@ -46,7 +46,7 @@ from larkbase.llm.common import byte_characters, prepare_python, shared_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A task's table is emptied beyond this many prefixes; that costs time only.
-TABLE_PREFIXES = 3_000_000
+TABLE_PREFIXES = 5_000_000
 #: The tokenizer closes each run with this mark.
 END_MARK = "</w>"
 #: The quick way for words of Latin-1 letters, digits and ASCII signs: these letters are their own normal form.
@@ -64,15 +64,19 @@ class Merges:
 
     def __init__(self, vocabulary: list[str], merges: list[tuple[str, str]]):
         self.rank = {pair: i for i, pair in enumerate(merges)}
-        self.fits: dict[tuple[str | None, str], bool] = {}
-        # Tokens by their characters from the last one back: node["open"] and node["closed"] are tokens.
-        self.root: dict = {}
+        #: Whether a token can stand behind another (None: at the start of a run).
+        self.fits: dict[str | None, dict[str, bool]] = {None: {}}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        # Tokens by their characters from the last one back: each node is [nodes below, open token, closed token].
+        self.root: list = [{}, None, None]
         for token in vocabulary:
             closed = token.endswith(END_MARK) and token != END_MARK
             node = self.root
             for c in reversed(token[: -len(END_MARK)] if closed else token):
-                node = node.setdefault(c, {})
-            node["closed" if closed else "open"] = token
+                node = node[0].setdefault(c, [{}, None, None])
+            node[2 if closed else 1] = token
+        # The run whose prefixes were counted last: its last tokens, and counts of open and closed prefixes.
+        self.run, self.last, self.opened, self.closed = "", [None], [0], [0]
 
     def symbols(self, token: str) -> list[str]:
         if token.endswith(END_MARK) and token != END_MARK:
@@ -80,8 +84,9 @@ class Merges:
             return [*bare[:-1], bare[-1] + END_MARK]
         return list(token)
 
-    def encode(self, symbols: list[str]) -> list[str]:
-        """By definition: the pair of lowest rank is merged, until none has one."""
+    def encode(self, symbols: list[str]) -> tuple[list[str], tuple[str, str] | None]:
+        """By definition: the pair of lowest rank is merged, until none has one. Also the pair merged last."""
+        pair = None
         while len(symbols) > 1:
             ranked = [self.rank.get(p, len(self.rank)) for p in zip(symbols, symbols[1:], strict=False)]
             least = min(ranked)
@@ -90,48 +95,89 @@ class Merges:
             out, i = [], 0
             while i < len(symbols):
                 if i < len(ranked) and ranked[i] == least:
+                    pair = (symbols[i], symbols[i + 1])
                     out.append(symbols[i] + symbols[i + 1])
                     i += 2
                 else:
                     out.append(symbols[i])
                     i += 1
             symbols = out
-        return symbols
+        return symbols, pair
+
+    def made_of(self, token: str) -> tuple[str, str] | None:
+        """The two symbols that encoding a token's own text merges last into it; None for a single one. A token
+        that its text is not encoded to is made of itself and nothing, which fits nowhere."""
+        if token not in self.halves:
+            found, pair = self.encode(self.symbols(token))
+            self.halves[token] = pair if found == [token] else (token, "")
+        return self.halves[token]
+
+    def edge(self, token: str, side: int) -> list[tuple[str, int]]:
+        """The symbols that stand at one end of a token while it is made, each with the rank that ends it."""
+        out, until = [], len(self.rank)
+        while True:
+            out.append((token, until))
+            pair = self.made_of(token)
+            if pair is None:
+                return out
+            token, until = pair[side], self.rank[pair]
 
     def fit(self, before: str | None, token: str) -> bool:
-        """Whether the token can stand behind another, or at the start of a run."""
-        known = self.fits.get((before, token))
-        if known is None:
-            pair = [token] if before is None else [before, token]
-            known = self.fits[before, token] = self.encode([s for t in pair for s in self.symbols(t)]) == pair
-        return known
+        """Whether the token can stand behind another, or at the start of a run: whether no two symbols that meet
+        there, while both are made, would be merged first. Of equal pairs the left one is merged first."""
+        whole = self.made_of(token) != (token, "")
+        if whole and before is not None:
+            rank, none, right = self.rank, len(self.rank), self.edge(token, 0)
+            for x, ends in self.edge(before, 1):
+                for y, till in right:
+                    r = rank.get((x, y), none)
+                    if r < ends and r <= till and r < none:
+                        whole = False
+        self.fits.setdefault(before, {})[token] = whole
+        return whole
 
     def counts(self, run: str) -> list[int]:
-        """Tokens of the closed run of each prefix, from the empty one."""
-        last: list[str | None] = [None] * (len(run) + 1)
-        opened, closed = [0] * (len(run) + 1), [0] * (len(run) + 1)
-        fits, fit = self.fits, self.fit
-        for i in range(1, len(run) + 1):
-            node, j = self.root, i
-            wanted = 2
-            while j and wanted:
+        """Tokens of the closed run of each prefix, from the empty one. What is known of the run before that
+        begins alike is kept, so that runs in order cost little."""
+        same = 0
+        for same, (a, b) in enumerate(zip(self.run, run, strict=False)):
+            if a != b:
+                break
+        else:
+            same = min(len(self.run), len(run))
+        last, opened, closed = self.last[: same + 1], self.opened[: same + 1], self.closed[: same + 1]
+        fits, root = self.fits, self.root
+        for i in range(same + 1, len(run) + 1):
+            node, j, open_, closing = root, i, None, None
+            while j:
                 j -= 1
-                node = node.get(run[j])
+                node = node[0].get(run[j])
                 if node is None:
                     break
-                before = last[j]
-                if (t := node.get("open")) is not None and last[i] is None:
-                    ok = fits.get((before, t))
-                    if fit(before, t) if ok is None else ok:
-                        last[i], opened[i] = t, opened[j] + 1
-                        wanted -= 1
-                if (t := node.get("closed")) is not None and not closed[i]:
-                    ok = fits.get((before, t))
-                    if fit(before, t) if ok is None else ok:
-                        closed[i] = opened[j] + 1
-                        wanted -= 1
-            if wanted:
+                t = node[1]
+                if t is not None and open_ is None:
+                    before = last[j]
+                    ok = fits[before].get(t)
+                    if self.fit(before, t) if ok is None else ok:
+                        open_, count = t, opened[j] + 1
+                        if closing is not None:
+                            break
+                t = node[2]
+                if t is not None and closing is None:
+                    before = last[j]
+                    ok = fits[before].get(t)
+                    if self.fit(before, t) if ok is None else ok:
+                        closing = opened[j] + 1
+                        if open_ is not None:
+                            break
+            if open_ is None or closing is None:
                 raise LookupError(run)
+            last.append(open_)
+            opened.append(count)
+            closed.append(closing)
+            if open_ not in fits:
+                fits[open_] = {}
+        self.run, self.last, self.opened, self.closed = run, last, opened, closed
         return closed
 
 
@@ -182,21 +228,20 @@ class PrefixTable:
         self.specials = tuple(t["content"] for t in found["added_tokens"])
         self.merges = Merges(list(found["model"]["vocab"]), [tuple(m) for m in found["model"]["merges"]])
         self.characters = byte_characters()
-        #: Counts at each prefix of runs and of stretches, in characters.
-        self.prefixes: dict[tuple[str, bool], array] = {}
+        #: Counts at each prefix, in characters, of stretches that the tokenizer has to tell and of runs.
+        self.prefixes: tuple[dict[str, array], dict[str, array]] = ({}, {})
         self.held = 0
         #: Tokens of whole words, by their UTF-8 bytes.
         self.whole: dict[bytes, int] = {}
 
-    def of(self, part: tuple[str, bool]) -> array:
+    def of(self, text: str, told: bool) -> array:
         """Counts at each prefix of a part, from the empty one."""
-        found = self.prefixes.get(part)
+        found = self.prefixes[told].get(text)
         if found is None:
-            text, told = part
             counts = self._of_run(text) if told else None
             if counts is None:
                 counts = self._by_tokenizer(text)
-            found = self.prefixes[part] = array("I", counts)
+            found = self.prefixes[told][text] = array("I", counts)
             self.held += len(counts)
         return found
 
@@ -221,19 +266,22 @@ class PrefixTable:
     def learn_bytes(self, kinds: set[bytes]) -> None:
         """Store distinct words with all prefixes."""
         if self.held > TABLE_PREFIXES:
-            self.prefixes.clear()
-            self.whole.clear()
+            for own in (*self.prefixes, self.whole):
+                own.clear()
             self.held = 0
-        for raw in kinds:
-            if raw not in self.whole:
-                self.whole[raw] = sum(self.of(p)[-1] for p in parts(raw.decode("utf-8", "replace"), self.specials))
+        fresh = {raw: parts(raw.decode("utf-8", "replace"), self.specials) for raw in kinds if raw not in self.whole}
+        # In order, as neighbours begin alike.
+        for run in sorted({text for of in fresh.values() for text, told in of if told}):
+            self.of(run, True)
+        for raw, own in fresh.items():
+            self.whole[raw] = sum(self.of(*part)[-1] for part in own)
 
     def at_prefixes(self, word: str) -> list[int]:
         """Counts at each prefix of a word, from the empty one."""
         out = [0]
         for part in parts(word, self.specials):
             before = out[-1]
-            out += [before + n for n in self.of(part)[1:]]
+            out += [before + n for n in self.of(*part)[1:]]
         return out
 
     def within(self, word: str, chars: int) -> int:
@@ -242,7 +290,7 @@ class PrefixTable:
         for part in parts(word, self.specials):
             if chars <= 0:
                 break
-            counts = self.of(part)
+            counts = self.of(*part)
             count += counts[min(chars, len(counts) - 1)]
             chars -= len(counts) - 1
         return count

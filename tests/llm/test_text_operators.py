@@ -85,6 +85,22 @@ def test_the_recurrence_gives_every_prefix_of_a_run(prefixes, run):
     assert prefixes._of_run(run) == at_all_prefixes(prefixes, run)
 
 
+def test_neighbours_fit_as_they_encode(prefixes):
+    import random
+
+    merges = prefixes.merges
+    tokens = sorted(merges.rank, key=merges.rank.get)
+    random.seed(7)
+    closed = lambda t: t.endswith(tokencount.END_MARK)
+    kinds = [a + b for a, b in tokens]
+    left = [t for t in kinds if not closed(t)]
+    pairs = [(random.choice(left), random.choice(kinds)) for _ in range(4000)] + [random.choice(tokens) for _ in range(2000)]
+    pairs += [(a, b) for a in ("a", "aa", "aaa", "haha", "ha") for b in ("a", "aa", "aaa", "a</w>", "aa</w>", "haha", "ha</w>")]
+    for a, b in pairs:
+        known = merges.encode(merges.symbols(a))[0] == [a]
+        assert not known or merges.fit(a, b) == (merges.encode([*merges.symbols(a), *merges.symbols(b)])[0] == [a, b]), (a, b)
+
+
 def test_prefixes_of_long_words_are_stored(prefixes, monkeypatch):
     words = ["internationalization" * 30, "ab1" * 400, "漢字" * 300, "x" * 3000, "é" * 200 + "tail" * 100]
     counted = [tokencount.PrefixCounts.of(w, prefixes) for w in words]
@@ -106,7 +122,7 @@ def test_a_symbol_that_the_vocabulary_lacks_goes_to_the_tokenizer(prefixes, monk
     part = tokencount.Merges(["a", "a</w>"], [])
     table = tokencount.PrefixTable(Path(WORDS).read_bytes())
     table.merges = part
-    assert list(table.of(("abba", True))) == at_all_prefixes(prefixes, "abba")
+    assert list(table.of("abba", True)) == at_all_prefixes(prefixes, "abba")
 
 
 def test_counts_of_documents(spark, documents):
