@@ -62,7 +62,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkbase.llm import secretscan
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secretscan.scan(docs, secretscan.default_model(spark))
+    return secretscan.scan(docs)
 
 
 def tokenizer_file(name: str) -> str:

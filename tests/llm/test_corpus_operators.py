@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkbase.llm import secretscan, sharding, simhash
+from larkbase.llm import sharding, simhash
 from tests.llm.conftest import prose
 
 # ---------------------------------------------------------------- sharding
@@ -201,43 +201,6 @@ def test_long_chains_of_links(spark):
     assert dict(map(tuple, simhash.components(edges).collect())) == {**{i: 0 for i in range(1, 61)}, 101: 100}
 
 
-# ---------------------------------------------------------------- secrets
-
-
-@pytest.fixture(scope="module")
-def forest(spark):
-    return secretscan.default_model(spark)
-
-
-def test_secrets_and_lookalikes(spark, forest):
-    sha = hashlib.sha1(b"x").hexdigest()
-    rows = [
-        (1, f'prose token = "{sha}" more'), (2, f"fixed in commit {sha} today"), (3, "see https://www.example.com/archive/2020/index.html now"),
-        (4, "call 4111111111111111 please"), (5, None), (6, ""), (7, 'api_key: "ghp_abcDEF0123456789abcDEF0123456789abcd"'),
-        (8, f'token = "{sha}" and again token = "{sha}"'), (9, "x" * 50_000 + " " + "漢" * 5000 + f' password="{sha.upper()}"'), (None, f"secret = '{sha}'"),
-    ]
-    found = secretscan.scan(spark.createDataFrame(rows, "doc_id long, text string"), forest).collect()
-    secret = Counter(r.doc_id for r in found if r.is_secret)
-    assert secret == {1: 1, 7: 1, 8: 2, 9: 1, None: 1}
-    assert {r.doc_id for r in found} >= {2, 4}
-
-
-def test_held_out_findings(spark):
-    rows = secretscan.labelled_findings(spark, 3000)
-    model = secretscan.train(rows.filter(F.xxhash64("candidate") % 5 != 0))
-    test = rows.filter(F.xxhash64("candidate") % 5 == 0)
-    from pyspark.ml.feature import VectorAssembler
-
-    judged = model.transform(VectorAssembler(inputCols=secretscan.FEATURES, outputCol="_features").transform(secretscan.features(test)))
-    wrong = judged.filter(F.col("prediction") != F.col("label")).select("before", "candidate", "after", "label").collect()
-    assert len(wrong) / judged.count() < 0.03, wrong
-
-
-def test_secret_scan_of_odd_tables(clashing, empty, forest):
-    assert secretscan.scan(empty, forest).count() == 0
-    secretscan.scan(clashing, forest).collect()
-
-
 # ---------------------------------------------------------------- odd tables
 
 
