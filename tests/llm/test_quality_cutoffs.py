@@ -1,0 +1,104 @@
+"""Cutoffs of shrunk sketches against plain Python."""
+
+import math
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from larkbase.llm import quality
+from tests.llm.conftest import prose
+
+COLUMNS = ["doc_id", "lang", "source", *quality.MEASURES]
+SCHEMA = "doc_id long, lang string, source string, " + ", ".join(f"{m} long" for m in quality.MEASURES)
+
+
+def bucket(v):
+    shift = max(0, v.bit_length() - 6)
+    return shift * 32 + (v >> shift)
+
+
+def low(b):
+    shift = max(0, b // 32 - 1)
+    return (b - shift * 32) << shift
+
+
+def rules(r):
+    sure = lambda n: max(0, n - math.ceil(2 * math.sqrt(n)))
+    m = dict(zip(COLUMNS, r, strict=True))
+    share = lambda n, of: 10_000 * sure(n) // of if of else 0
+    return {
+        "symbol_share": share(m["n_symbols"], m["n_words"]), "dup_line_share": share(m["n_dup_lines"], m["n_text_lines"]), "repeat_share": share(m["n_repeat_words"], m["n_words"]),
+        "mean_word": 100 * m["word_chars"] // m["n_words"] if m["n_words"] else 0,
+    }
+
+
+def slow_cuts(rows, config):
+    good = [r for r in rows if not (r[3] < config.min_words or 100 * r[7] > 50 * r[3])]
+    cuts = {}
+    for group in {(r[1], r[2]) for r in good}:
+        for rule in quality.RULES:
+            weight = Counter()
+            for share, of in ((None, [r for r in good if (r[1], r[2]) == group]), (config.language_weight, [r for r in good if r[1] == group[0]]), (config.overall_weight, good)):
+                for r in of:
+                    weight[bucket(rules(r)[rule])] += Fraction(1) if share is None else Fraction(share, len(of))
+            total, upto, at = sum(weight.values()), Fraction(0), {}
+            valley = None
+            for b in sorted(weight):
+                upto += weight[b]
+                for quarter in (1, 3):
+                    if upto * 4 >= total * quarter:
+                        at.setdefault(quarter, b)
+                ahead = sum(w for k, w in weight.items() if b < k <= b + config.valley)
+                if valley is None and upto * 4 >= total * 3 and upto < total and ahead * config.valley_share <= total:
+                    valley = b
+            q1, q3 = low(at[1]), low(at[3])
+            cuts[group, rule] = q3 + config.spread * (q3 - q1) if q3 > q1 else None if valley is None else low(valley + 1) - 1
+    return cuts
+
+
+def corpus(seed, n=400):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        words = int(rng.integers(20, 600))
+        junk = rng.random() < 0.06
+        rows.append(
+            (
+                i % 97, [None, "en", "de"][int(rng.integers(0, 3))], [None, "hot", "hot", "rare"][int(rng.integers(0, 4))], words, int(words * rng.integers(4, 7)) if not junk else words * 12,
+                int(words * rng.uniform(1, 2)) if junk else int(rng.integers(0, 4)), int(rng.integers(0, 12)) if junk else 0, int(words * rng.choice([0, 0, 0, 0.02, 0.3])), int(rng.integers(0, 30)),
+            )
+        )
+    return rows + rows[:20]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cutoffs(spark, seed):
+    rows = corpus(seed)
+    config = quality.QualityConfig(valley_share=200)
+    measures = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("mine") for c in ("rule", "bucket", "weight", "n", "upto", "total", "n_lang", "n_all")})
+    found = {(r.lang, r.source): r for r in quality.thresholds(measures, config).collect()}
+    want = slow_cuts(rows, config)
+    assert {k for k, _ in want} == set(found)
+    assert {(k, rule): found[k][f"cut_{rule}"] for k, rule in want} == want
+    assert len(set(want.values())) > 2
+
+
+def test_a_value_at_the_cutoff_stays(spark, monkeypatch):
+    rows = [(i, prose(i, 100), "en", "s") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    measured = quality.with_rules(quality.measure(docs)).select(F.max("mean_word")).first()[0]
+    cut = lambda value: spark.createDataFrame([("en", "s", None, None, None, value)], "lang string, source string, " + ", ".join(f"cut_{r} long" for r in quality.RULES))
+    for value, gone in ((measured, 0), (measured - 1, 1)):
+        monkeypatch.setattr(quality, "thresholds", lambda m, c, v=value: cut(v))
+        assert (quality.judge(docs).filter("NOT kept").count() > 0) == bool(gone)
+
+
+def test_exact_weights_of_very_large_counts(spark):
+    """Counts of a corpus of 10^11 documents: weights stay whole numbers."""
+    n = 10**11
+    sketch = spark.createDataFrame([("en", "s", r, b, n) for r in quality.RULES for b in (0, 900)], "lang string, source string, rule string, bucket int, n long")
+    got = quality.mixed(sketch, quality.QualityConfig()).filter("rule = 'mean_word' AND bucket = 900").first()
+    assert int(got.weight) == n * 2 * n * 2 * n + 200 * n * 2 * n + 50 * n * 2 * n
