@@ -6,7 +6,7 @@ that a third of all rows hold is a few rows from then on.
 
 Queries and data are indexed together. A node is a ball around one of its rows, with one covering
 radius for its data and one for its queries; a node of more than `block` rows is split among up to
-`fan` centres sampled from it, each row going to the nearest, and so on until all leaves are small.
+`fan` centres, distant ones among rows drawn from it, each row going to the nearest, and so on until all leaves are small.
 The tree gets deeper as the data grow, and rows are never dealt by a hash. For any query q within r
 of its node's centre c and any vector v within s of its node's centre d,
     q.v <= c.d + r|d| + s|c| + r s.
@@ -179,6 +179,28 @@ def give(rows: DataFrame, centres: DataFrame, config: TopKConfig) -> DataFrame:
     return first.unionByName(rest).repartition("node", "deal").sortWithinPartitions("node", "deal", "kind").mapInArrow(stream, PLACED)
 
 
+def farthest_first(x: np.ndarray, wanted: int) -> np.ndarray:
+    """So many of the vectors, each as far from those before it as any is."""
+    picked, near = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(picked) < min(wanted, len(x)):
+        picked.append(int(near.argmax()))
+        near = np.minimum(near, ((x - x[picked[-1]]) ** 2).sum(axis=1))
+    return x[picked]
+
+
+def spread_out(drawn: DataFrame) -> DataFrame:
+    """(node, n, centres) with `wanted` of the centres that were drawn for each node."""
+    prepare_python(drawn.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("centres").to_pylist(), batch.column("wanted").to_pylist(), strict=True)
+            made = [farthest_first(np.array(c), w).tolist() for c, w in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(made, pa.list_(pa.list_(pa.float64())))], ["node", "n", "centres"])
+
+    return drawn.select("node", F.col("n").cast("long").alias("n"), F.col("wanted").cast("long").alias("wanted"), "centres").mapInArrow(run, "node string, n long, centres array<array<double>>")
+
+
 @dataclass
 class Tree:
     #: (node, parent, level, centre, norm, n_data, n_query, r_data, r_query, is_leaf)
@@ -205,14 +227,14 @@ def build(rows: DataFrame, config: TopKConfig) -> Tree:
         )
         info = materialize(info.join(centres, "node").withColumn("level", F.lit(level)))
         n = F.col("n_data") + F.col("n_query")
-        # As many centres as leaves are needed, sampled by a hash; rows with equal vectors make one.
+        # As many centres as leaves are needed, the most distant of four times as many that a hash draws.
         big = info.filter(n > config.block).select("node", n.alias("n"), F.greatest(F.lit(2), F.least(F.lit(config.fan), F.ceil(n / config.block))).alias("wanted"))
         draw = F.pmod(F.xxhash64("x", "y", F.lit(level)), F.lit(1 << 30))
         sampled = placed.join(small(big, config.sent_nodes), "node").filter(draw * F.col("n") < F.col("wanted") * (4 << 30)).select("node", "n", "wanted", "v", "x", "y", draw.alias("draw"))
         first = Window.partitionBy("node").orderBy("draw", "x", "y")
-        chosen = sampled.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= F.col("wanted"))
-        split = chosen.groupBy("node").agg(F.max("n").alias("n"), F.array_distinct(F.collect_list("v")).alias("centres")).filter(F.size("centres") > 1)
-        split = materialize(split)
+        chosen = sampled.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= 4 * F.col("wanted"))
+        drawn = chosen.groupBy("node").agg(F.max("n").alias("n"), F.max("wanted").alias("wanted"), F.array_distinct(F.collect_list("v")).alias("centres"))
+        split = materialize(spread_out(drawn.filter(F.size("centres") > 1)))
         parents = small(split.select("node"), config.sent_nodes)
         nodes.append(info.join(parents.withColumn("has", F.lit(True)), "node", "left").withColumn("is_leaf", F.col("has").isNull()).drop("has"))
         if split.isEmpty():
