@@ -33,13 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
-from larkbase.llm.common import byte_characters, prepare_python, shared_file
+from larkbase.llm.common import byte_characters, prepare_python, shared_file, tidy
 
 #: The code points with the Unicode property White_Space, as a character class.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 WORDS = rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
 #: A task's table is emptied beyond this many words; that costs time only.
-TABLE_WORDS = 150_000
+TABLE_WORDS = 80_000
 
 
 def split_words(text: Column) -> Column:
@@ -165,7 +165,7 @@ def encode(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
             )
 
     words = split_words(F.col("text")).alias("_larkbase_words")
-    return docs.select(*(F.col(f"`{n}`") for n in names), words).mapInArrow(run, out)
+    return docs.select(*(F.col(f"`{n}`") for n in names), words).mapInArrow(tidy(run), out)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -182,7 +182,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [own.decode(ids.as_py() or []) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return encoded.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, out)
+    return encoded.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(tidy(run), out)
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
@@ -207,4 +207,4 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
                 [*names, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", split_words(F.col("text")).alias("_larkbase_words")).mapInArrow(run, out)
+    return docs.select("doc_id", split_words(F.col("text")).alias("_larkbase_words")).mapInArrow(tidy(run), out)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,16 +58,16 @@ def working_files(spark: SparkSession) -> Iterator[None]:
             fs.delete(at, True)
 
 
-def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Write to the shared folder and read back.
 
     This cuts the lineage, and what is read later is the same rows even if executors are lost and
-    tasks run again. The files live until the innermost `working_files` ends; without one, as long as
-    the folder, since lazily read results point at them.
+    tasks run again. The files live until the innermost `working_files` ends; without one, or with `keep`,
+    as long as the folder, since lazily read results point at them.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/larkbase/{uuid.uuid4().hex}"
-    if _scopes:
+    if _scopes and not keep:
         _scopes[-1].append(path)
     writer = df.write
     if partition_by:
@@ -115,6 +118,24 @@ def byte_characters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+def tidy(run: Callable[[Iterator], Iterator], *shared) -> Callable[[Iterator], Iterator]:
+    """The same function over batches; when it ends, what its worker has freed goes back to the system, and the
+    values of broadcasts are let go, as idle workers stay beside the JVM's own stages."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for b in shared:
+                b.__dict__.pop("_value", None)  # read again from its file when next asked for
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def id_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from larkbase.llm.common import join_each, materialize, prepare_python
+from larkbase.llm.common import join_each, materialize, prepare_python, tidy
 
 SHINGLE = 4
 SEED = 42
@@ -229,7 +229,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
             prints = np.array([fingerprint(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(prints.view(np.int64))], [*names, "fingerprint"])
 
-    return docs.select(*(F.col(f"`{n}`") for n in names), "text").mapInArrow(run, StructType(kept).add("fingerprint", LongType()))
+    return docs.select(*(F.col(f"`{n}`") for n in names), "text").mapInArrow(tidy(run), StructType(kept).add("fingerprint", LongType()))
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def links(prints: DataFrame) -> DataFrame:
                 keys, owners = bucket_keys(values[at : at + 2000])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], ["key", "fingerprint"])
 
-    keyed = prints.select("fingerprint").mapInArrow(spread, "key long, fingerprint long")
+    keyed = prints.select("fingerprint").mapInArrow(tidy(spread), "key long, fingerprint long")
     met = materialize(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: meet(b, HELD_BUCKET), "a long, b long, key long"))
     edges = met.filter("key IS NULL").select("a", "b")
     over = met.filter("key IS NOT NULL").select("key", F.col("a").alias("fingerprint"))

@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -42,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from larkbase.llm.common import id_bucket, materialize, prepare_python
+from larkbase.llm.common import id_bucket, materialize, prepare_python, tidy
 
 ORDER = 8
 PAD = "^"
@@ -51,8 +50,10 @@ RUNS = re.compile(r"[^\W_]+")
 SEED = 42
 #: Most toxic words that stand for a text's most toxic passage.
 PEAK = 3
-#: Distinct words or expressions that a task holds before it passes their counts or numbers on.
-HELD = 150_000
+#: Distinct words that a task holds before it passes their counts on, and whose numbers it keeps.
+HELD, KEPT = 60_000, 100_000
+#: Texts that a task takes apart at once.
+TOGETHER = 128
 
 
 @dataclass
@@ -161,7 +162,7 @@ def keyed(values: DataFrame) -> DataFrame:
             whole = keys("".join(texts) + END, np.arange(len(texts)) * size)[0 if size == ORDER else 1]
             yield pa.RecordBatch.from_arrays([pa.array(whole), batch.column("gain")], ["key", "gain"])
 
-    return values.select("text", "gain").mapInArrow(run, "key long, gain double")
+    return values.select("text", "gain").mapInArrow(tidy(run), "key long, gain double")
 
 
 def count_expressions(texts: DataFrame) -> DataFrame:
@@ -191,7 +192,7 @@ def count_expressions(texts: DataFrame) -> DataFrame:
                     yield passed()
         yield passed()
 
-    counted = texts.select("text", "toxic").mapInArrow(run, "gram string, toxic long, ordinary long")
+    counted = texts.select("text", "toxic").mapInArrow(tidy(run), "gram string, toxic long, ordinary long")
     return counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -346,11 +347,10 @@ class Held:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """`FEATURES` of each text."""
-        split = [(t or "").split() for t in texts]
         out = np.zeros((len(texts), len(FEATURES)))
-        for start in range(0, len(split), 256):
-            part = split[start : start + 256]
-            if len(self.words) > HELD:
+        for start in range(0, len(texts), TOGETHER):
+            part = [(t or "").split() for t in texts[start : start + TOGETHER]]
+            if len(self.words) > KEPT:
                 self.words.clear()
             if fresh := {w for words in part for w in words if w not in self.words}:
                 self.learn(list(fresh))
@@ -363,26 +363,17 @@ class Held:
         return out
 
 
-_held: dict[str, Held] = {}
-
-
 def _shared(model: ToxicityModel):
-    """A function that gives a worker its table; one table for each worker process, of the latest model."""
+    """The sorted arrays of the model, for all executors."""
     tables = []
     for df in (model.gains, model.unseen):
         found = df.select("key", "gain").toArrow()
         keys, values = (np.asarray(found.column(c)) for c in ("key", "gain"))
         order = np.argsort(keys, kind="stable")
         tables.append((keys[order], values[order]))
-    shared, name = model.gains.sparkSession.sparkContext.broadcast(tuple(tables)), uuid.uuid4().hex
-
-    def table() -> Held:
-        if name not in _held:
-            _held.clear()
-            _held[name] = Held(*shared.value)
-        return _held[name]
+    shared = model.gains.sparkSession.sparkContext.broadcast(tuple(tables))
 
-    return table
+    return shared
 
 
 def with_features(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -394,12 +385,12 @@ def with_features(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def _features_by_scan(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     prepare_python(docs.sparkSession)
-    table = _shared(model)
+    shared = _shared(model)
     kept = [f for f in docs.schema.fields if f.name not in FEATURES]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = table()
+        own = Held(*shared.value)
         for batch in batches:
             found = own.features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(found[:, i]) for i in range(len(FEATURES)))], [*names, *FEATURES])
@@ -407,7 +398,7 @@ def _features_by_scan(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     out = StructType(list(kept))
     for c in FEATURES:
         out = out.add(c, DoubleType())
-    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, out)
+    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(tidy(run, shared), out)
 
 
 def _features_by_join(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -90,3 +90,17 @@ def test_near_copies_are_all_pairs_of_similarity_0_8(spark):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCUMENTS), "").collect()}
     assert 60 < len(set(root.values())) < len(rows)
     assert kept == set(root.values())
+
+
+def test_a_run_leaves_only_the_results_of_its_stages(spark, corpus, tmp_path):
+    from pathlib import Path
+
+    folder, _ = corpus
+    shared = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        rows = corpus_pipeline.run(spark, folder)
+        assert len(list(Path(tmp_path, "larkbase").iterdir())) == len(corpus_pipeline.STAGES)
+        assert rows.count() > 0
+    finally:
+        spark.conf.set("spark.checkpoint.dir", shared)
