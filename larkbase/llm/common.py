@@ -24,6 +24,10 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ARROW_BATCH_BYTES = 8 << 20
 
 
+#: Temporary folders by application, where the session names none and all is local.
+_own_dirs: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (`spark.checkpoint.dir`). Where it is unset, a local master
     gets a temporary one; a cluster's executors could not see that, so there it is an error."""
@@ -31,8 +35,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="larkbase-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="larkbase-")
+        _own_dirs[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 

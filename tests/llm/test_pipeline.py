@@ -92,15 +92,26 @@ def test_near_copies_are_all_pairs_of_similarity_0_8(spark):
     assert kept == set(root.values())
 
 
-def test_a_run_leaves_only_the_results_of_its_stages(spark, corpus, tmp_path):
+def test_a_run_leaves_only_the_results_of_its_stages(spark, corpus, tmp_path, monkeypatch):
     from pathlib import Path
 
+    from larkbase.llm import common, linededup
+
     folder, _ = corpus
-    shared = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        rows = corpus_pipeline.run(spark, folder)
-        assert len(list(Path(tmp_path, "larkbase").iterdir())) == len(corpus_pipeline.STAGES)
-        assert rows.count() > 0
-    finally:
-        spark.conf.set("spark.checkpoint.dir", shared)
+    for module in (common, linededup):
+        monkeypatch.setattr(module, "scratch_dir", lambda _: str(tmp_path))
+    rows = corpus_pipeline.run(spark, folder)
+    assert len(list(Path(tmp_path, "larkbase").iterdir())) == len(corpus_pipeline.STAGES)
+    assert rows.count() > 0
+
+
+def test_working_folder_of_a_session_that_names_none(monkeypatch):
+    from types import SimpleNamespace
+
+    from larkbase.llm import common
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="a"))
+    assert common.scratch_dir(session("local[4]")) == common.scratch_dir(session("local[4]"))
+    for cluster in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError):
+            common.scratch_dir(session(cluster))
