@@ -39,7 +39,7 @@ from larkbase.llm.common import byte_characters, prepare_python, shared_file, ti
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 WORDS = rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
 #: A task's table is emptied beyond this many words; that costs time only.
-TABLE_WORDS = 80_000
+TABLE_WORDS = 200_000
 
 
 def split_words(text: Column) -> Column:
@@ -126,6 +126,22 @@ class Block:
         return pa.ListArray.from_arrays(pa.array(self.bounds, pa.int32()), pa.array(flat[np.repeat(shift, each) + np.arange(each.sum())]))
 
 
+#: Bytes of the words of a block: the more texts share its distinct words, the fewer look-ups there are.
+BLOCK_BYTES = 32 << 20
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `size` bytes, or larger where they come so."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -196,7 +212,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(*local())
-        for batch in batches:
+        for batch in gathered(batches):
             block = Block(batch.column("_larkbase_words"), own)
             ids_sha, text_sha = [], []
             for rows in block.texts():
@@ -207,4 +223,4 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
                 [*names, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", split_words(F.col("text")).alias("_larkbase_words")).mapInArrow(tidy(run), out)
+    return docs.select("doc_id", split_words(F.col("text")).alias("_larkbase_words")).mapInArrow(run, out)
