@@ -61,6 +61,21 @@ def test_transitions_are_those_of_the_text_around(docs):
         assert r.distinct == pytest.approx(len(set(r.candidate)) / min(40, len(r.candidate)))
 
 
+def test_transitions_come_from_whole_texts_of_all_documents(spark):
+    middle = "quartz jumps " * 400
+    texts = [f"{middle} token={SHA} {middle} secret={SHA} {middle}", middle + "no candidate here", "zz", None]
+    pieces = secretscan.marked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    counts = Counter()
+    for text in texts[:3]:
+        for word in re.findall("[a-z0-9]{2,}", text.replace(SHA, " ")):
+            counts.update(word[i : i + 2] for i in range(len(word) - 1))
+    assert counts["qu"] == counts["ju"] == 1600 and counts["zz"] == 1
+    signs = secretscan.SIGNS
+    wanted = [math.log2((counts[a + b] + 1) / sum(counts[a + c] + 1 for c in signs)) for a in signs for b in signs]
+    assert secretscan.learn_transitions(pieces) == pytest.approx(wanted)
+    assert [(r.doc_id, r.finding) for r in secretscan.candidates(pieces).orderBy("finding").collect()] == [(0, 0), (0, 1)]
+
+
 def test_secrets_and_lookalikes(docs):
     found = secretscan.scan(docs, redact=False).collect()
     assert sum(map(len, WANTED)) == len(found)
