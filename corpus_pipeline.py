@@ -9,13 +9,18 @@ first stages as null, and are encoded as empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkbase.llm import bpe, linededup, mixing, nearcopies, toxicity
-from larkbase.llm.common import materialize, table, working_files
+from larkbase.llm.common import collect_garbage, materialize, table, working_files
 from larkbase.llm.queries import tokenizer_file
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.5 or more go. The models learn from the labelled ones among the input."""
@@ -30,7 +35,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: 5-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies stays: 5-word shingles, similarity 0.8 or more, found by SimHash
+    fingerprints and Golay-code keys, and by MinHash where those don't reach."""
     return nearcopies.drop_near_copies(docs)
 
 
@@ -44,12 +50,23 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_file("byte_bpe_50k.json"), keep_text=False)
 
 
+def _rested(stage: Stage) -> Stage:
+    """The stage, begun when executors have given back what the one before has left."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collect_garbage(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", dedup_lines),
-    ("near_dedup", drop_near_copies),
-    ("mixing", mix_sources),
-    ("bpe", encode),
+    ("toxicity", _rested(drop_toxic)),
+    ("line_dedup", _rested(dedup_lines)),
+    ("near_dedup", _rested(drop_near_copies)),
+    ("mixing", _rested(mix_sources)),
+    ("bpe", _rested(encode)),
 ]
 
 #: The learned model and the raking can't be expressed in SQL. The tests of their operators compare both with

@@ -66,13 +66,13 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None, keep: bool
     """Write to the shared folder and read back.
 
     This cuts the lineage, and what is read later is the same rows even if executors are lost and
-    tasks run again. The files live until the innermost `working_files` ends; without one, or with `keep`,
-    as long as the folder, since lazily read results point at them.
+    tasks run again. The files live until the innermost `working_files` ends, with `keep` until the one around
+    it; without one, as long as the folder, since lazily read results point at them.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/larkbase/{uuid.uuid4().hex}"
-    if _scopes and not keep:
-        _scopes[-1].append(path)
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -140,6 +140,15 @@ def tidy(run: Callable[[Iterator], Iterator], *shared) -> Callable[[Iterator], I
     return tidied
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files that nothing points at any more are deleted once the driver has collected its garbage; the
+    executors' heaps give what they have free back to the system when they do, and their Python workers need it."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def id_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus

@@ -1,13 +1,17 @@
 """Near copies by the Jaccard similarity of word shingles, for the corpus pipeline.
 
 Two texts are linked if their sets of 5-word shingles have a similarity of at least 0.8, decided on
-the whole sets. Candidates come from MinHash: `BANDS` keys of `ROWS` minima each, so that a pair at
-the threshold meets in no bucket with probability (1 - 0.8^4)^32, about 5e-8, and more similar ones
-with less. Texts with equal sets are one node from the start.
+the whole sets. Texts with equal sets are one node from the start. Candidates come from `simhash`: the
+fingerprints of the 5-word shingles meet by their Golay-code keys, and the links within four bits are
+checked on the sets.
 
-A bucket's nodes are compared with one centre first, which is another in each of `STAR_ROUNDS`
-rounds; what those leave in different components is compared pair by pair in the last round. Pairs
-that are already connected need no comparison, so a large group of copies is never paired off.
+At a similarity of 0.8 two fingerprints differ in about ten bits, beyond what the keys reach, so what they
+leave unconnected has a way of its own: MinHash, `BANDS` keys of `ROWS` minima each, so that a pair at
+the threshold meets in no bucket with probability (1 - 0.8^4)^32, about 5e-8, and more similar ones
+with less. A bucket's nodes are compared with one centre first, which is another in each of
+`STAR_ROUNDS` rounds; what those leave in different components is compared pair by pair in the last
+round. Pairs that are already connected need no comparison, so a large group of copies is never paired
+off.
 
 Defined cases: a null text is empty; texts without words are copies of each other; a text with fewer
 words than a shingle has its whole sequence as the only one; case and white space do not count.
@@ -23,11 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkbase.llm.common import materialize, prepare_python, tidy
-from larkbase.llm.simhash import components
+from larkbase.llm.common import collect_garbage, materialize, prepare_python, tidy, working_files
+from larkbase.llm.simhash import SEED, components, fingerprint_of, links, shingle_hashes
 
 SHINGLE = 5
-SEED = 42
 BANDS, ROWS = 32, 4
 STAR_ROUNDS = 2
 #: Odd factors of the permutations.
@@ -38,16 +41,7 @@ HASHED_AT_ONCE = 1024
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a UTF-8 text's shingles."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    n = max(1, len(words) - shingle + 1)
-    last = ends[min(shingle, len(words)) - 1 :].tolist()
-    first = [0, *(ends[: n - 1] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, n))
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -70,18 +64,21 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def _described(rows: DataFrame) -> DataFrame:
-    """(_larkbase_row, doc_id, node, n, keys): the set's hash, size and bands."""
+    """(_larkbase_row, doc_id, node, n, fingerprint, keys): the set's hash and size, the SimHash, the set's bands."""
     prepare_python(rows.sparkSession)
     kept = rows.select("_larkbase_row", "doc_id", "text")
+    names = ["_larkbase_row", "doc_id", "node", "n", "fingerprint", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())]
-            made = [pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["_larkbase_row", "doc_id", "node", "n", "keys"])
+            hashes = [shingle_hashes(t.as_py() or b"", SHINGLE) for t in batch.column("text").cast(pa.binary())]
+            prints = pa.array(np.array(list(map(fingerprint_of, hashes)), np.uint64).view(np.int64))
+            sets = list(map(np.unique, hashes))
+            made = [pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), prints, pa.array(map(band_keys, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names)
 
     kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(tidy(run), f"_larkbase_row long, doc_id {kind}, node long, n long, keys array<long>")
+    return kept.mapInArrow(tidy(run), f"_larkbase_row long, doc_id {kind}, node long, n long, fingerprint long, keys array<long>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -108,17 +105,35 @@ def similar(n_a: str, n_b: str):
     return 5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)
 
 
+def golay_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) to be checked: the links of `simhash` among the fingerprints of (node, n, fingerprint). Of nodes with one
+    fingerprint, the first stands for it and meets the others."""
+    first = materialize(nodes.groupBy("fingerprint").agg(F.min(F.struct("node", "n")).alias("first")).select("fingerprint", "first.*"))
+    of_a = first.select(F.col("fingerprint").alias("a"), F.col("node").alias("node_a"), F.col("n").alias("n_a"))
+    of_b = first.select(F.col("fingerprint").alias("b"), F.col("node").alias("node_b"), F.col("n").alias("n_b"))
+    across = links(first).join(of_a, "a").join(of_b, "b").select("node_a", "n_a", "node_b", "n_b")
+    same = nodes.select("fingerprint", F.col("node").alias("node_a"), F.col("n").alias("n_a")).join(of_b, F.col("fingerprint") == F.col("b"))
+    pairs = across.unionByName(same.filter("node_a <> node_b").select("node_a", "n_a", "node_b", "n_b"))
+    return pairs.filter(similar("n_a", "n_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def roots(rows: DataFrame, described: DataFrame) -> DataFrame:
     """(node, root) of the nodes that have a near copy."""
     spark = rows.sparkSession
-    nodes = described.groupBy("node").agg(F.min_by(F.struct("n", "keys"), "_larkbase_row").alias("of"), F.min("_larkbase_row").alias("_larkbase_row"))
+    nodes = described.groupBy("node").agg(F.min_by(F.struct("n", "fingerprint", "keys"), "_larkbase_row").alias("of"), F.min("_larkbase_row").alias("_larkbase_row"))
     nodes = materialize(nodes.select("node", "_larkbase_row", "of.*"))
+    met = materialize(golay_pairs(nodes.select("node", "n", "fingerprint")))
+    collect_garbage(spark)
     spread = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     buckets = materialize(spread.join(shared, "key"))
-    places = nodes.join(buckets.select("node").distinct(), "node").select("node", "_larkbase_row")
+    wanted = buckets.select("node").unionByName(met.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    places = nodes.join(wanted, "node").select("node", "_larkbase_row")
     sets = materialize(_sets(rows.select("_larkbase_row", "text").join(places, "_larkbase_row")))
-    edges, found = None, None
+    collect_garbage(spark)
+    edges = materialize(_linked(met, sets))
+    found = None if edges.isEmpty() else components(edges)
+    # What the keys don't reach: pairs in the buckets that are not connected yet.
     for k in range(STAR_ROUNDS + 1):
         if found is None:
             rooted = buckets.withColumn("root", F.col("node"))
@@ -134,12 +149,13 @@ def roots(rows: DataFrame, described: DataFrame) -> DataFrame:
             other = rooted.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
             pairs = rooted.withColumnRenamed("node", "a").join(other, "key").filter("root < root_b")
         pairs = materialize(pairs.filter(similar("n", "n_b")).select("a", "b").distinct())
+        collect_garbage(spark)
         if pairs.isEmpty():
             if k < STAR_ROUNDS:
                 continue
             break
         new = materialize(_linked(pairs, sets))
-        edges = new if edges is None else edges.unionByName(new)
+        edges = edges.unionByName(new)
         if not new.isEmpty():
             found = components(edges)
     return found if found is not None else spark.createDataFrame([], "node long, root long")
@@ -148,11 +164,13 @@ def roots(rows: DataFrame, described: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The documents, one of each component: the one with the least id, and of rows with that id any one."""
     rows = materialize(docs.withColumn("_larkbase_row", F.monotonically_increasing_id()))
-    described = materialize(_described(rows))
-    ids = described.select("_larkbase_row", "doc_id", "node").join(roots(rows, described), "node", "left")
-    ids = materialize(ids.select("_larkbase_row", "doc_id", F.coalesce("root", "node").alias("root")))
-    first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_larkbase_row"))).alias("first"))
-    gone = materialize(ids.join(first.select(F.col("first._larkbase_row").alias("_larkbase_row")), "_larkbase_row", "left_anti").select("_larkbase_row"))
+    with working_files(docs.sparkSession):
+        described = materialize(_described(rows))
+        ids = described.select("_larkbase_row", "doc_id", "node").join(roots(rows, described), "node", "left")
+        ids = materialize(ids.select("_larkbase_row", "doc_id", F.coalesce("root", "node").alias("root")))
+        first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_larkbase_row"))).alias("first"))
+        gone = ids.join(first.select(F.col("first._larkbase_row").alias("_larkbase_row")), "_larkbase_row", "left_anti").select("_larkbase_row")
+        gone = materialize(gone, keep=True)
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
     return rows.join(gone, "_larkbase_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

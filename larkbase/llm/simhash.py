@@ -59,22 +59,32 @@ HELD_BUCKET = 2_000_000
 HASHED_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of a UTF-8 text, as an unsigned 64-bit number."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a UTF-8 text's shingles in their order, repeats included."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :].tolist()
     first = [0, *(ends[: n - 1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, n)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of a text's shingle hashes, as an unsigned 64-bit number; zero without any."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, HASHED_AT_ONCE):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + HASHED_AT_ONCE], last[at : at + HASHED_AT_ONCE])], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), HASHED_AT_ONCE):
+        part = hashes[at : at + HASHED_AT_ONCE].astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of a UTF-8 text, as an unsigned 64-bit number."""
+    return fingerprint_of(shingle_hashes(text, shingle))
 
 
 @lru_cache

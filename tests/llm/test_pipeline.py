@@ -92,6 +92,34 @@ def test_near_copies_are_all_pairs_of_similarity_0_8(spark):
     assert kept == set(root.values())
 
 
+def test_near_copies_meet_by_golay_keys_of_fingerprints(spark):
+    """Copies with one changed word are found by the fingerprints alone, and checked on their sets."""
+    import random
+
+    from larkbase.llm import nearcopies, simhash
+
+    random.seed(5)
+    rows = []
+    for i in range(20):
+        words = [f"w{random.randrange(4000)}" for _ in range(600)]
+        rows.append((10 * i, " ".join(words), "en", "s", 1))
+        words[300] = "changed"
+        rows.append((10 * i + 1, " ".join(words), "en", "s", 1))
+    prints = [simhash.fingerprint(t.encode(), nearcopies.SHINGLE) for _, t, *_ in rows]
+    near = {10 * i for i in range(20) if (prints[2 * i] ^ prints[2 * i + 1]).bit_count() <= 4}
+    assert len(near) > 10
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    described = nearcopies.materialize(nearcopies._described(docs.withColumn("_larkbase_row", F.monotonically_increasing_id())).withColumn("keys", F.array().cast("array<long>")))
+    by_node = {r.node: r.doc_id for r in described.collect()}
+    pairs = {tuple(sorted((by_node[r.a], by_node[r.b]))) for r in nearcopies.golay_pairs(described).collect()}
+    assert {(i, i + 1) for i in near} <= pairs
+    found = nearcopies.roots(docs.withColumn("_larkbase_row", F.monotonically_increasing_id()), described).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.root, set()).update({by_node[r.node], by_node[r.root]})
+    assert sorted(map(sorted, groups.values())) == sorted([i, i + 1] for i in near)
+
+
 def test_a_run_leaves_only_the_results_of_its_stages(spark, corpus, tmp_path, monkeypatch):
     from pathlib import Path
 
