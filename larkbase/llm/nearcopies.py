@@ -11,7 +11,9 @@ the threshold meets in no bucket with probability (1 - 0.8^4)^32, about 5e-8, an
 with less. A bucket's nodes are compared with one centre first, which is another in each of
 `STAR_ROUNDS` rounds; what those leave in different components is compared pair by pair in the last
 round. Pairs that are already connected need no comparison, so a large group of copies is never paired
-off.
+off. Nor is a large bucket of texts that have little more than a passage in common: of `LARGE_BUCKET` nodes
+on, pairs are those that share one of their rarest shingles. That loses none: two sets that lack the first
+n - ceil(0.8 n) + 1 of each other's shingles, in any one order, have a similarity below 0.8.
 
 Defined cases: a null text is empty; texts without words are copies of each other; a text with fewer
 words than a shingle has its whole sequence as the only one; case and white space do not count.
@@ -33,6 +35,8 @@ from larkbase.llm.simhash import SEED, components, fingerprint_of, links, shingl
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 STAR_ROUNDS = 2
+#: From so many nodes on, the last round's pairs of a bucket are told by rare shingles.
+LARGE_BUCKET = 33
 #: Odd factors of the permutations.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -105,6 +109,21 @@ def similar(n_a: str, n_b: str):
     return 5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)
 
 
+def rare_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, n, b, n_b) of the members (node, n, root) that lie in different components and share one of their rarest
+    shingles, by how many members have them; every pair of a similarity of 0.8 does."""
+    each = materialize(members.join(sets, "node").select("node", "n", "root", F.explode("hashes").alias("hash")))
+    counts = each.groupBy("hash").agg(F.count(F.lit(1)).alias("times"))
+    # ceil(0.8 n) in integers; a shingle that one member has takes its place in the order and meets nothing.
+    ordered = each.join(counts, "hash").groupBy("node", "n", "root").agg(F.array_sort(F.collect_list(F.struct("times", "hash"))).alias("order"))
+    first = ordered.select("node", "n", "root", F.explode(F.slice("order", F.lit(1), F.col("n").cast("int") - F.expr("cast((4 * n + 4) div 5 as int)") + 1)).alias("of"))
+    held = first.filter("of.times > 1").groupBy(F.col("of.hash").alias("hash"), "root").agg(F.collect_list(F.struct("node", "n")).alias("held"))
+    held = materialize(held)
+    other = held.select("hash", F.col("root").alias("root_b"), F.col("held").alias("held_b"))
+    met = held.join(other, "hash").filter("root < root_b").select(F.explode("held").alias("one"), "held_b").select("one", F.explode("held_b").alias("other"))
+    return met.select(F.col("one.node").alias("a"), F.col("one.n").alias("n"), F.col("other.node").alias("b"), F.col("other.n").alias("n_b"))
+
+
 def golay_pairs(nodes: DataFrame) -> DataFrame:
     """(a, b) to be checked: the links of `simhash` among the fingerprints of (node, n, fingerprint). Of nodes with one
     fingerprint, the first stands for it and meets the others."""
@@ -146,8 +165,13 @@ def roots(rows: DataFrame, described: DataFrame) -> DataFrame:
             centres = centres.filter("low <> high").select("key", F.col("c.node").alias("b"), F.col("c.n").alias("n_b"), F.col("c.root").alias("root_b"))
             pairs = rooted.withColumnRenamed("node", "a").join(centres, "key").filter("root <> root_b")
         else:
-            other = rooted.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-            pairs = rooted.withColumnRenamed("node", "a").join(other, "key").filter("root < root_b")
+            sizes = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+            split = materialize(rooted.join(sizes.filter("low <> high").select("key", "size"), "key"))
+            small = split.filter(F.col("size") < LARGE_BUCKET).drop("size")
+            other = small.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+            pairs = small.withColumnRenamed("node", "a").join(other, "key").filter("root < root_b").select("a", "n", "b", "n_b")
+            large = split.filter(F.col("size") >= LARGE_BUCKET).select("node", "n", "root").distinct()
+            pairs = pairs.unionByName(rare_pairs(large, sets))
         pairs = materialize(pairs.filter(similar("n", "n_b")).select("a", "b").distinct())
         collect_garbage(spark)
         if pairs.isEmpty():

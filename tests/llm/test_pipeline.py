@@ -120,6 +120,32 @@ def test_near_copies_meet_by_golay_keys_of_fingerprints(spark):
     assert sorted(map(sorted, groups.values())) == sorted([i, i + 1] for i in near)
 
 
+def test_large_buckets_lose_no_pair_and_make_few(spark):
+    """Texts with a passage in common, and copies of some at about 0.8: pairs by rare shingles against all pairs."""
+    import random
+    from itertools import combinations
+
+    from larkbase.llm import nearcopies
+
+    random.seed(9)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        words = passage + [f"w{random.randrange(3000)}" for _ in range(random.choice([5, 60]))]
+        texts.append(" ".join(words))
+        if i % 5 == 0:
+            words[random.randrange(len(words))] = "changed"
+            texts.append(" ".join(words + ["more"] * (i % 3)))
+    hashes = {nearcopies.node_of(h): h for h in map(nearcopies.shingles, map(str.encode, texts))}
+    sets = spark.createDataFrame([(k, h.view("int64").tolist()) for k, h in hashes.items()], "node long, hashes array<long>")
+    members = spark.createDataFrame([(k, len(h), k) for k, h in hashes.items()], "node long, n long, root long")
+    made = {tuple(sorted((r.a, r.b))) for r in nearcopies.rare_pairs(members, sets).collect()}
+    each = {k: set(h.tolist()) for k, h in hashes.items()}
+    alike = {tuple(sorted(p)) for p in combinations(each, 2) if 10 * len(each[p[0]] & each[p[1]]) >= 8 * len(each[p[0]] | each[p[1]])}
+    assert len(alike) > 100 and alike <= made
+    assert len(made) < len(each) * (len(each) - 1) / 4
+
+
 def test_a_run_leaves_only_the_results_of_its_stages(spark, corpus, tmp_path, monkeypatch):
     from pathlib import Path
 
