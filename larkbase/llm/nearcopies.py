@@ -9,11 +9,14 @@ At a similarity of 0.8 two fingerprints differ in about ten bits, beyond what th
 leave unconnected has a way of its own: MinHash, `BANDS` keys of `ROWS` minima each, so that a pair at
 the threshold meets in no bucket with probability (1 - 0.8^4)^32, about 5e-8, and more similar ones
 with less. A bucket's nodes are compared with one centre first, which is another in each of
-`STAR_ROUNDS` rounds; what those leave in different components is compared pair by pair in the last
-round. Pairs that are already connected need no comparison, so a large group of copies is never paired
+`STAR_ROUNDS` rounds; what those leave in different components is compared pair by pair.
+Pairs that are already connected need no comparison, so a large group of copies is never paired
 off. Nor is a large bucket of texts that have little more than a passage in common: of `LARGE_BUCKET` nodes
 on, pairs are those that share one of their rarest shingles. That loses none: two sets that lack the first
-n - ceil(0.8 n) + 1 of each other's shingles, in any one order, have a similarity below 0.8.
+n - ceil(0.8 n) + 1 of each other's shingles, in any one order, have a similarity below 0.8. Nor is a large
+group of near copies that differ from each other: where two sets' first common shingle stands at places i
+and j of that order, they share n - i and m - j at most, and pairs for which that is too little are left
+out. Before, each is compared with the most ordinary node that has its rare shingle.
 
 Defined cases: a null text is empty; texts without words are copies of each other; a text with fewer
 words than a shingle has its whole sequence as the only one; case and white space do not count.
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkbase.llm.common import collect_garbage, materialize, prepare_python, tidy, working_files
@@ -35,8 +38,10 @@ from larkbase.llm.simhash import SEED, components, fingerprint_of, links, shingl
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 STAR_ROUNDS = 2
-#: From so many nodes on, the last round's pairs of a bucket are told by rare shingles.
+#: From so many nodes on, the pairs of a bucket are told by rare shingles.
 LARGE_BUCKET = 33
+#: Counts of shingles are held in so many slots, a power of two.
+SLOTS = 1 << 20
 #: Odd factors of the permutations.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -109,19 +114,68 @@ def similar(n_a: str, n_b: str):
     return 5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)
 
 
-def rare_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, n, b, n_b) of the members (node, n, root) that lie in different components and share one of their rarest
-    shingles, by how many members have them; every pair of a similarity of 0.8 does."""
-    each = materialize(members.join(sets, "node").select("node", "n", "root", F.explode("hashes").alias("hash")))
-    counts = each.groupBy("hash").agg(F.count(F.lit(1)).alias("times"))
-    # ceil(0.8 n) in integers; a shingle that one member has takes its place in the order and meets nothing.
-    ordered = each.join(counts, "hash").groupBy("node", "n", "root").agg(F.array_sort(F.collect_list(F.struct("times", "hash"))).alias("order"))
-    first = ordered.select("node", "n", "root", F.explode(F.slice("order", F.lit(1), F.col("n").cast("int") - F.expr("cast((4 * n + 4) div 5 as int)") + 1)).alias("of"))
-    held = first.filter("of.times > 1").groupBy(F.col("of.hash").alias("hash"), "root").agg(F.collect_list(F.struct("node", "n")).alias("held"))
-    held = materialize(held)
-    other = held.select("hash", F.col("root").alias("root_b"), F.col("held").alias("held_b"))
-    met = held.join(other, "hash").filter("root < root_b").select(F.explode("held").alias("one"), "held_b").select("one", F.explode("held_b").alias("other"))
-    return met.select(F.col("one.node").alias("a"), F.col("one.n").alias("n"), F.col("other.node").alias("b"), F.col("other.n").alias("n_b"))
+def rare_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hash, at, node, n): the first shingles of each of `members` (node), the rarest first, with their place from 0.
+    Rarity is counted by slots of hashes, a table of fixed size; any one order of all hashes loses no pair."""
+    spark = members.sparkSession
+    prepare_python(spark)
+    kept = materialize(members.select("node").join(sets, "node").select("node", "hashes"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            total += np.bincount(slots_of(batch.column("hashes").flatten().to_numpy()), minlength=SLOTS)
+        held = np.flatnonzero(total)
+        for at in range(0, len(held), 10_000):
+            part = held[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["slot", "times"])
+
+    found = kept.select("hashes").mapInArrow(tidy(counted), "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    times = np.zeros(SLOTS, np.int64)
+    times[found.column("slot").to_numpy()] = found.column("times").to_numpy()
+    sent = spark.sparkContext.broadcast(times)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, held in zip(batch.column("node"), batch.column("hashes"), strict=True):
+                hashes = held.values.to_numpy()
+                n = len(hashes)
+                order = np.lexsort((hashes, sent.value[slots_of(hashes)]))[: n - (4 * n + 4) // 5 + 1]
+                columns = [pa.array(hashes[order]), pa.array(np.arange(len(order))), pa.repeat(node, len(order)), pa.repeat(pa.scalar(n, pa.int64()), len(order))]
+                yield pa.RecordBatch.from_arrays(columns, ["hash", "at", "node", "n"])
+
+    return materialize(kept.mapInArrow(tidy(first, sent), "hash long, at long, node long, n long"))
+
+
+def slots_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & (SLOTS - 1)).astype(np.int64)
+
+
+def _met(one: DataFrame, other: DataFrame, apart: Column) -> DataFrame:
+    """(a, n, b, n_b) of rows that share a rare shingle. If it is the first that two sets have in common, what stands
+    from it on in each is all they can share, and has to be enough."""
+    left = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
+    enough = (9 * left >= 4 * (F.col("n") + F.col("n_b"))) & similar("n", "n_b") & apart
+    return one.withColumnRenamed("node", "a").join(other, (F.col("hash") == F.col("hash_b")) & enough).select("a", "n", "b", "n_b")
+
+
+def rare_stars(rare: DataFrame) -> DataFrame:
+    """(a, n, b, n_b) of rows (hash, at, node, n, root): each of a shingle's nodes with the one that has the fewest rarer
+    shingles, so the fewest of its own."""
+    centres = rare.groupBy("hash").agg(F.min(F.struct("at", "node", "n", "root")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+    centres = centres.filter("low <> high").select(F.col("hash").alias("hash_b"), F.col("c.at").alias("at_b"), F.col("c.node").alias("b"), F.col("c.n").alias("n_b"), F.col("c.root").alias("root_b"))
+    return _met(rare, centres, F.col("root") != F.col("root_b"))
+
+
+def rare_pairs(members: DataFrame, sets: DataFrame, rare: DataFrame | None = None) -> DataFrame:
+    """(a, n, b, n_b) of the members (node, n, root) that lie in different components and share a rare shingle at which
+    they may have a similarity of 0.8; every pair that has it is there. `rare`: their rare shingles, if made already."""
+    rare = rare_shingles(members, sets) if rare is None else rare
+    rare = rare.join(members.select("node", "root"), "node")
+    sizes = rare.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    split = rare.join(sizes.filter("low <> high").select("hash"), "hash", "left_semi")
+    other = split.select(*(F.col(c).alias(f"{c}_b") for c in ("hash", "at", "n", "root")), F.col("node").alias("b"))
+    return _met(split, other, F.col("root") < F.col("root_b"))
 
 
 def golay_pairs(nodes: DataFrame) -> DataFrame:
@@ -153,38 +207,47 @@ def roots(rows: DataFrame, described: DataFrame) -> DataFrame:
     edges = materialize(_linked(met, sets))
     found = None if edges.isEmpty() else components(edges)
     # What the keys don't reach: pairs in the buckets that are not connected yet.
-    for k in range(STAR_ROUNDS + 1):
+
+    def rooted(rows: DataFrame) -> DataFrame:
         if found is None:
-            rooted = buckets.withColumn("root", F.col("node"))
-        else:
-            rooted = buckets.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if k < STAR_ROUNDS:
-            centres = rooted.groupBy("key").agg(
-                F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "n", "root")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")
-            )
-            centres = centres.filter("low <> high").select("key", F.col("c.node").alias("b"), F.col("c.n").alias("n_b"), F.col("c.root").alias("root_b"))
-            pairs = rooted.withColumnRenamed("node", "a").join(centres, "key").filter("root <> root_b")
-        else:
-            sizes = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-            split = materialize(rooted.join(sizes.filter("low <> high").select("key", "size"), "key"))
-            small = split.filter(F.col("size") < LARGE_BUCKET).drop("size")
-            other = small.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-            pairs = small.withColumnRenamed("node", "a").join(other, "key").filter("root < root_b").select("a", "n", "b", "n_b")
-            large = split.filter(F.col("size") >= LARGE_BUCKET).select("node", "n", "root").distinct()
-            pairs = pairs.unionByName(rare_pairs(large, sets))
+            return rows.withColumn("root", F.col("node"))
+        return rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def connect(pairs: DataFrame) -> None:
+        nonlocal edges, found
         pairs = materialize(pairs.filter(similar("n", "n_b")).select("a", "b").distinct())
         collect_garbage(spark)
         if pairs.isEmpty():
-            if k < STAR_ROUNDS:
-                continue
-            break
+            return
         new = materialize(_linked(pairs, sets))
-        edges = edges.unionByName(new)
         if not new.isEmpty():
+            edges = edges.unionByName(new)
             found = components(edges)
+
+    for k in range(STAR_ROUNDS):
+        placed = rooted(buckets)
+        centres = placed.groupBy("key").agg(
+            F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "n", "root")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")
+        )
+        centres = centres.filter("low <> high").select("key", F.col("c.node").alias("b"), F.col("c.n").alias("n_b"), F.col("c.root").alias("root_b"))
+        connect(placed.withColumnRenamed("node", "a").join(centres, "key").filter("root <> root_b"))
+    large = materialize(_split(rooted(buckets)).filter(F.col("size") >= LARGE_BUCKET).select("node", "n").distinct())
+    if not large.isEmpty():
+        rare = rare_shingles(large, sets)
+        connect(rare_stars(rooted(rare)))
+        connect(rare_pairs(rooted(large), sets, rare))
+    small = materialize(_split(rooted(buckets)).filter(F.col("size") < LARGE_BUCKET).drop("size"))
+    other = small.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    connect(small.withColumnRenamed("node", "a").join(other, "key").filter("root < root_b"))
     return found if found is not None else spark.createDataFrame([], "node long, root long")
 
 
+def _split(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, n, root) of buckets with more than one component, with the bucket's `size`."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return rows.join(sizes.filter("low <> high").select("key", "size"), "key")
+
+
 def drop_near_copies(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The documents, one of each component: the one with the least id, and of rows with that id any one."""
     rows = materialize(docs.withColumn("_larkbase_row", F.monotonically_increasing_id()))

@@ -146,6 +146,43 @@ def test_large_buckets_lose_no_pair_and_make_few(spark):
     assert len(made) < len(each) * (len(each) - 1) / 4
 
 
+def test_a_large_group_of_near_copies_is_not_paired_off(spark):
+    """Copies of one text with zero to eight words changed, most of them unlike each other: rows made, before equal ones
+    are dropped, and components, against all pairs."""
+    import random
+    from itertools import combinations
+
+    from larkbase.llm import nearcopies
+
+    random.seed(11)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in random.sample(range(120), i % 9):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words), "en", "s", 1))
+    hashes = {i: nearcopies.shingles(t.encode()) for i, t, *_ in rows}
+    node = {i: nearcopies.node_of(h) for i, h in hashes.items()}
+    each = {node[i]: set(h.tolist()) for i, h in hashes.items()}
+    sets = spark.createDataFrame([(node[i], h.view("int64").tolist()) for i, h in hashes.items()], "node long, hashes array<long>").dropDuplicates(["node"])
+    members = spark.createDataFrame([(k, len(h), k) for k, h in each.items()], "node long, n long, root long")
+    made = [tuple(sorted((r.a, r.b))) for r in nearcopies.rare_pairs(members, sets).collect()]
+    alike = {p for p in combinations(sorted(each), 2) if 10 * len(each[p[0]] & each[p[1]]) >= 8 * len(each[p[0]] | each[p[1]])}
+    assert len(alike) > 500 and alike <= set(made)
+    assert len(made) < len(each) * (len(each) - 1) / 4
+
+    root = {k: k for k in each}
+    for a, b in alike:
+        low, high = sorted((root[a], root[b]))
+        root = {k: low if r == high else r for k, r in root.items()}
+    first = {}
+    for i in node:
+        first.setdefault(root[node[i]], i)
+    kept = {r.doc_id for r in nearcopies.drop_near_copies(spark.createDataFrame(rows, DOCUMENTS)).collect()}
+    assert 50 < len(kept) < 250 and kept == set(first.values())
+
+
 def test_a_run_leaves_only_the_results_of_its_stages(spark, corpus, tmp_path, monkeypatch):
     from pathlib import Path
 
