@@ -37,6 +37,24 @@ def test_words_encode_as_the_whole_text(codec, text):
     assert codec.decode(ids) == expected.decode(ids, skip_special_tokens=False) == text
 
 
+def test_words_are_encoded_joined_and_told_apart():
+    """Each word has the ids it has by itself, from far fewer texts than words; also where the pieces don't add up."""
+    import re
+    from types import SimpleNamespace
+
+    text = " a  bc\n\nd'll 12,345 \x85x \u3000\u00a0é <|endoftext|>y <|endoftext|> \x1cq 🙂🙂 \t" + " ".join(f"w{i}x{i * i}" for i in range(3000)) + "  "
+    words = list(dict.fromkeys(re.findall(bpe.WORDS, text)))
+    own = bpe.Codec(Path(BYTES).read_bytes())
+    tokenizer, seen = own.tokenizer, []
+    own.tokenizer = SimpleNamespace(encode_batch_fast=lambda texts, **b: (seen.extend(texts), tokenizer.encode_batch_fast(texts, **b))[1])
+    own.rows(words)
+    each = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    assert [own.ids[own.at[w]] for w in words] == each
+    assert len(seen) < len(words) / 50
+    own.lengths = own.lengths + 1
+    assert own.encode_words(words) == each
+
+
 def test_encoding_decoding_and_digests(documents):
     reference = Tokenizer.from_file(BYTES)
     encoded = bpe.encode(documents, BYTES)
