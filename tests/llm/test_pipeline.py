@@ -1,9 +1,13 @@
 """The pipeline's stages against plain Python on a small corpus."""
 
+import re
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from larkbase.llm.common import collect_garbage
 from tests.llm.conftest import DOCUMENTS, prose
 
 
@@ -206,3 +210,24 @@ def test_working_folder_of_a_session_that_names_none(monkeypatch):
     for cluster in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
         with pytest.raises(RuntimeError):
             common.scratch_dir(session(cluster))
+
+
+def test_stages_begin_when_the_driver_has_given_back_native_memory(spark):
+    """Memory that the driver's JVM has freed outside its heap stays in the allocator's arenas unless it is trimmed."""
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+
+    def held() -> float:
+        return int(re.search(r"\nAnonymous:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+
+    deflaters = [spark._jvm.java.util.zip.Deflater() for _ in range(1200)]
+    for i, d in enumerate(deflaters):
+        if i % 4:
+            d.end()
+    for _ in range(3):  # the heap gives back what it can
+        spark._jvm.java.lang.System.gc()
+    before = held()
+    collect_garbage(spark)
+    freed = before - held()
+    for d in deflaters[::4]:
+        d.end()
+    assert freed > 60
