@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from larkbase.llm.common import join_each, materialize, prepare_python, tidy
+from larkbase.llm.common import join_each, materialize, prepare_python, tidy, working_files
 
 SHINGLE = 4
 SEED = 42
@@ -311,16 +311,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds go on until nothing changes, which takes about the logarithm of the longest path, squared at most.
     """
+    spark = edges.sparkSession
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count(F.lit(1)).alias("n")))
-        large = join_each(both.filter("b > a"), low, "a", "b").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
-        large = materialize(large)
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")))
-        small = join_each(large, low, "a", "b").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
-        edges = materialize(small.filter("a <> b").distinct())
+        # What a round has written on the way is deleted with its end.
+        with working_files(spark):
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count(F.lit(1)).alias("n")))
+            large = join_each(both.filter("b > a"), low, "a", "b").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+            large = materialize(large)
+            low = materialize(large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")))
+            small = join_each(large, low, "a", "b").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
+            edges = materialize(small.filter("a <> b").distinct(), keep=True)
         # Rounds end when every node has one edge, to its root, and no root has one.
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from larkbase.llm import common, simhash
 from larkbase.llm.common import collect_garbage
 from tests.llm.conftest import DOCUMENTS, prose
 
@@ -231,3 +232,17 @@ def test_stages_begin_when_the_driver_has_given_back_native_memory(spark):
     for d in deflaters[::4]:
         d.end()
     assert freed > 60
+
+
+def test_rounds_of_components_leave_their_edges_only(spark, tmp_path, monkeypatch):
+    """A round's tables on the way to its edges are deleted with its end; the result can still be read."""
+    monkeypatch.setattr(common, "scratch_dir", lambda _: str(tmp_path))
+    path = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
+    written = []
+    kept = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda *args, **options: written.append(1) or kept(*args, **options))
+    roots = {r.node: r.root for r in simhash.components(path).collect()}
+    assert roots == {i: 0 for i in range(1, 31)} | {101: 100}
+    left = len(list((tmp_path / "larkbase").iterdir()))
+    rounds = (len(written) - 1) // 4
+    assert rounds > 1 and left <= rounds + 1
